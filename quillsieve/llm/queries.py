@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, token_counts
+from . import ann_search, bpe_codec, quality, secrets, token_counts, topk_search
 from .common import table
 
 #: Where the public tokenizer files lie; a parameter of this installation.
@@ -23,11 +23,33 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.byte_level_vocabulary(tokenizer_file("byte_bpe_50k.json")))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; learned from labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every row whose id 20 divides, against all rows."""
+    return topk_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return bpe_codec.digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op6_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every row whose id 20 divides, by learned partitions."""
+    return ann_search.search(table(spark, sf_dir, "embeddings"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     """Name to query, for the driver's entry file."""
     here = sys.modules[__name__]
@@ -36,4 +58,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those queries that SQL can express."""
-    return {}
+    return {"op3_topk_search": topk_search.ORACLE, "op7_secret_scan": secrets.oracle()}
