@@ -154,9 +154,12 @@ def search(rows: DataFrame, k: int = 20, divisor: int = 20, sample: int = 8192,
     sizes = {r.part: r.n for r in routed.groupBy("part").agg(F.count("*").alias("n")).collect()}
     counts = {r.part: r.n for r in asking.groupBy("part").agg(F.count("*").alias("n")).collect()}
     shape = [(p, vectors.blocks_for(n, 2 * part_rows), vectors.blocks_for(counts.get(p, 0), query_block)) for p, n in sizes.items()]
-    grid = F.broadcast(spark.createDataFrame(shape or [(0, 1, 1)], "part int, across int, down int"))  # one row a part
-    left = asking.join(grid, "part").withColumn("d", vectors.block_of(F.col("cid"), F.col("down"))).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
-    right = routed.join(grid, "part").withColumn("a", vectors.block_of(F.col("cid"), F.col("across"))).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("down") - 1)))
+
+    def grid() -> DataFrame:  # one row a part
+        return F.broadcast(spark.createDataFrame(shape or [(0, 1, 1)], "part int, across int, down int"))
+
+    left = asking.join(grid(), "part").withColumn("d", vectors.block_of(F.col("cid"), F.col("down"))).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
+    right = routed.join(grid(), "part").withColumn("a", vectors.block_of(F.col("cid"), F.col("across"))).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("down") - 1)))
     n = min(max(1, sum(a * d for _, a, d in shape)), 4 * partitions_for(spark))
     keys = ["part", "a", "d"]
     found = left.repartition(n, *keys).groupBy(*keys).cogroup(right.repartition(n, *keys).groupBy(*keys)).applyInArrow(_rerank(k + 1), "qid long, cid long, score double")
