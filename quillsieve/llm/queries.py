@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_search, bpe_codec, quality, secrets, token_counts, topk_search
+from . import ann_search, bpe_codec, lm_scoring, quality, secrets, token_counts, topk_search
 from .common import table
 
 #: Where the public tokenizer files lie; a parameter of this installation.
@@ -50,6 +50,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every document under the unigram base and the maximum-entropy model."""
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     """Name to query, for the driver's entry file."""
     here = sys.modules[__name__]
