@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_search, bpe_codec, lm_scoring, mixing, quality, secrets, token_counts, topk_search
+from . import ann_search, bpe_codec, jaccard_join, lm_scoring, mixing, quality, secrets, token_counts, topk_search
 from .common import table
 
 #: Where the public tokenizer files lie; a parameter of this installation.
@@ -50,6 +50,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 3-word shingles with a similarity of 0.9 and more."""
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raked weight, probability and draw of every document."""
     return mixing.sample(table(spark, sf_dir, "documents"))
