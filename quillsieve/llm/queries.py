@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_search, bpe_codec, jaccard_join, lm_scoring, mixing, quality, secrets, token_counts, topk_search
+from . import ann_search, bpe_codec, jaccard_join, lm_scoring, mixing, quality, secrets, suffix_dedup, token_counts, topk_search
 from .common import table
 
 #: Where the public tokenizer files lie; a parameter of this installation.
@@ -40,6 +40,11 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without its repeated strings of 400 bytes."""
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op6_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every row whose id 20 divides, by learned partitions."""
     return ann_search.search(table(spark, sf_dir, "embeddings"))
