@@ -270,3 +270,17 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90, hubs: int = 4) -> DataF
     linked = sets.where("key IS NOT NULL AND doc_id IS NOT NULL").join(written(top), "key").select("doc_id", "n", "component_id")
     alone = sets.where("key IS NULL OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return linked.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest id, one row of it if the id is repeated.
+
+    Rows with a null id stay, as do rows without words (one of each id).
+    """
+    groups = link(docs, n, percent)
+    stay = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    stay = written(stay)
+    kept = docs.join(stay.withColumnRenamed("doc_id", "__id").hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__id"), "inner")
+    once = kept.where("rows = 1").select(*docs.columns)
+    again = kept.where("rows > 1").withColumn("__r", F.row_number().over(Window.partitionBy("__id").orderBy(F.length(F.coalesce("text", F.lit(""))).desc(), F.xxhash64("text")))).where("__r = 1").select(*docs.columns)
+    return once.union(again).union(docs.where("doc_id IS NULL"))
