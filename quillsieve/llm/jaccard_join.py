@@ -282,5 +282,7 @@ def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     stay = written(stay)
     kept = docs.join(stay.withColumnRenamed("doc_id", "__id").hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__id"), "inner")
     once = kept.where("rows = 1").select(*docs.columns)
+    if not stay.where("rows > 1").limit(1).count():
+        return once.union(docs.where("doc_id IS NULL"))
     again = kept.where("rows > 1").withColumn("__r", F.row_number().over(Window.partitionBy("__id").orderBy(F.length(F.coalesce("text", F.lit(""))).desc(), F.xxhash64("text")))).where("__r = 1").select(*docs.columns)
     return once.union(again).union(docs.where("doc_id IS NULL"))
