@@ -126,7 +126,7 @@ def neighbour_graph_of(x: np.ndarray, asked: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-s, k - 1, axis=1)[:, :k]
 
 
-def search(rows: DataFrame, k: int = 20, divisor: int = 20, sample: int = 8192, target_recall: float = 0.95, part_rows: int = 2048, most_parts: int = 256, query_block: int = 2048) -> DataFrame:
+def search(rows: DataFrame, k: int = 20, divisor: int = 20, sample: int = 8192, target_recall: float = 0.95, part_rows: int = 8192, most_parts: int = 256, query_block: int = 2048) -> DataFrame:
     """``query_id long, rank int, vec_id long, score double`` of every row whose id ``divisor`` divides.
 
     ``sample`` bounds the rows that the index is fitted on; every row is indexed. Vectors null, empty, all zero or
@@ -153,7 +153,7 @@ def search(rows: DataFrame, k: int = 20, divisor: int = 20, sample: int = 8192,
     asking = written(queries.mapInArrow(_route(shared, router.probes), "cid long, v array<double>, part int"))
     sizes = {r.part: r.n for r in routed.groupBy("part").agg(F.count("*").alias("n")).collect()}
     counts = {r.part: r.n for r in asking.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    shape = [(p, vectors.blocks_for(n, 2 * part_rows), vectors.blocks_for(counts.get(p, 0), query_block)) for p, n in sizes.items()]
+    shape = [(p, vectors.blocks_for(n, part_rows), vectors.blocks_for(counts.get(p, 0), query_block)) for p, n in sizes.items()]
 
     def grid() -> DataFrame:  # one row a part
         return F.broadcast(spark.createDataFrame(shape or [(0, 1, 1)], "part int, across int, down int"))
