@@ -9,8 +9,14 @@ from pyspark.sql.window import Window
 from .. import constants as C
 from ..functions.text import census_category, is_signal
 
-BY_DOC = Window.partitionBy("doc_id")
-IN_ORDER = BY_DOC.orderBy("ln")
+
+def by_doc():
+    return Window.partitionBy("doc_id")
+
+
+def in_order():
+    """A document's lines in order: the one window that all line operators share."""
+    return by_doc().orderBy("ln")
 
 
 def explode_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -26,12 +32,12 @@ def join_lines(lines: DataFrame, key: Column | None = None) -> DataFrame:
 
 def dedupe_runs(lines: DataFrame) -> DataFrame:
     """Runs of three and more equal lines that are not empty become one line with a count; numbers are given anew."""
-    new = F.coalesce(F.lag("line").over(IN_ORDER) != F.col("line"), F.lit(True)) | (F.col("line") == "")
-    runs = lines.withColumn("run", F.sum(new.cast("int")).over(IN_ORDER))
+    new = F.coalesce(F.lag("line").over(in_order()) != F.col("line"), F.lit(True)) | (F.col("line") == "")
+    runs = lines.withColumn("run", F.sum(new.cast("int")).over(in_order()))
     own = Window.partitionBy("doc_id", "run")
     sized = runs.withColumns({"n": F.count("*").over(own), "k": F.row_number().over(own.orderBy("ln"))}).where("n < 3 OR k = 1")
     line = F.when(F.col("n") >= 3, F.concat("line", F.lit(C.REPEATED.split("{n}")[0]), F.col("n").cast("string"), F.lit(C.REPEATED.split("{n}")[1]))).otherwise(F.col("line"))
-    return sized.select("doc_id", (F.row_number().over(IN_ORDER) - 1).alias("ln"), line.alias("line"))
+    return sized.select("doc_id", (F.row_number().over(in_order()) - 1).alias("ln"), line.alias("line"))
 
 
 def with_signal(lines: DataFrame) -> DataFrame:
@@ -43,7 +49,7 @@ def cap_flags(lines: DataFrame, cap: Column) -> DataFrame:
 
     ``whole`` marks documents that fit or are nine tenths signal.
     """
-    rows = with_signal(lines).withColumns({"n": F.count("*").over(BY_DOC), "n_signal": F.sum(F.col("signal").cast("int")).over(BY_DOC), "cap": cap.cast("long")})
+    rows = with_signal(lines).withColumns({"n": F.count("*").over(by_doc()), "n_signal": F.sum(F.col("signal").cast("int")).over(by_doc()), "cap": cap.cast("long")})
     budget = F.greatest(F.lit(0).cast("long"), F.col("cap") - F.col("n_signal"))
     rows = rows.withColumn("head", F.ceil(budget * 0.6)).withColumn("tail", budget - F.col("head"))
     whole = (F.col("n") <= F.col("cap")) | (F.col("n_signal") >= F.col("n") * 0.9)
@@ -53,8 +59,8 @@ def cap_flags(lines: DataFrame, cap: Column) -> DataFrame:
 
 def gap_rows(kept: DataFrame) -> DataFrame:
     """Kept rows (``doc_id, ln, line, n``) with ``gap``: lines left out before each, and ``rest``: after the last."""
-    gap = F.col("ln") - F.coalesce(F.lag("ln").over(IN_ORDER), F.lit(-1)) - 1
-    rest = F.when(F.lead("ln").over(IN_ORDER).isNull(), F.col("n") - 1 - F.col("ln")).otherwise(0)
+    gap = F.col("ln") - F.coalesce(F.lag("ln").over(in_order()), F.lit(-1)) - 1
+    rest = F.when(F.lead("ln").over(in_order()).isNull(), F.col("n") - 1 - F.col("ln")).otherwise(0)
     return kept.withColumns({"gap": gap.cast("long"), "rest": rest.cast("long")})
 
 
@@ -105,7 +111,7 @@ def count_signals(lines: DataFrame) -> DataFrame:
 
 def digest_rows(lines: DataFrame) -> DataFrame:
     """Lines of a digest without relevance: ``part`` is ``lead`` (first and last signal lines) or ``structure`` (head and tail)."""
-    rows = with_signal(lines).withColumn("n", F.count("*").over(BY_DOC))
+    rows = with_signal(lines).withColumn("n", F.count("*").over(by_doc()))
     own = Window.partitionBy("doc_id", "signal")
     rows = rows.withColumns({"up": F.row_number().over(own.orderBy("ln")), "down": F.row_number().over(own.orderBy(F.desc("ln")))})
     lead = F.col("signal") & ((F.col("up") <= C.DIGEST_SIGNAL) | (F.col("down") <= C.DIGEST_SIGNAL))
@@ -115,8 +121,8 @@ def digest_rows(lines: DataFrame) -> DataFrame:
 
 def collapse_lines(lines: DataFrame, noise: Column, least: int) -> DataFrame:
     """Without noise lines, a row with ``removed`` in place of the first; documents with fewer than ``least`` stay whole."""
-    rows = lines.withColumn("noise", noise).withColumn("removed", F.sum(F.col("noise").cast("int")).over(BY_DOC))
-    first = F.min(F.when(F.col("noise"), F.col("ln"))).over(BY_DOC)
+    rows = lines.withColumn("noise", noise).withColumn("removed", F.sum(F.col("noise").cast("int")).over(by_doc()))
+    first = F.min(F.when(F.col("noise"), F.col("ln"))).over(by_doc())
     rows = rows.withColumn("first", first)
     keep = (F.col("removed") < least) | ~F.col("noise") | (F.col("ln") == F.col("first"))
     return rows.where(keep).select("doc_id", "ln", F.when((F.col("removed") >= least) & F.col("noise"), F.lit(None)).otherwise(F.col("line")).alias("line"), F.when(F.col("removed") >= least, F.col("removed")).otherwise(0).alias("removed"))

@@ -10,7 +10,9 @@ from pyspark.sql.window import Window
 
 from .. import constants as C
 
-HAS_TOKENS = F.col("inTokEst").isNotNull() & F.col("outTokEst").isNotNull()
+
+def _has_tokens():
+    return F.col("inTokEst").isNotNull() & F.col("outTokEst").isNotNull()
 
 
 def _flag(name: str):
@@ -22,10 +24,10 @@ def with_tokens(records: DataFrame) -> DataFrame:
     quarter = lambda c: F.floor(F.coalesce(F.col(c), F.lit(0)) / 4 + 0.5).cast("long")
     return records.withColumns(
         {
-            "in_tok": F.when(HAS_TOKENS, F.col("inTokEst")).otherwise(quarter("inBytes")),
-            "out_tok": F.when(HAS_TOKENS, F.col("outTokEst")).otherwise(quarter("outBytes")),
-            "cls": F.when(HAS_TOKENS, F.coalesce("tokenClass", F.lit("mixed"))),
-            "by_class": F.when(HAS_TOKENS, F.coalesce("estimator", F.lit(C.ESTIMATOR)) == C.ESTIMATOR).otherwise(False),
+            "in_tok": F.when(_has_tokens(), F.col("inTokEst")).otherwise(quarter("inBytes")),
+            "out_tok": F.when(_has_tokens(), F.col("outTokEst")).otherwise(quarter("outBytes")),
+            "cls": F.when(_has_tokens(), F.coalesce("tokenClass", F.lit("mixed"))),
+            "by_class": F.when(_has_tokens(), F.coalesce("estimator", F.lit(C.ESTIMATOR)) == C.ESTIMATOR).otherwise(False),
         }
     )
 

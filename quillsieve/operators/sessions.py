@@ -18,18 +18,24 @@ from pyspark.sql.window import Window
 
 from .. import constants as C
 
-BY_SESSION = Window.partitionBy("session").orderBy("seq")
-SO_FAR = BY_SESSION.rowsBetween(Window.unboundedPreceding, 0)
+
+def by_session():
+    """A session's rows in order (windows need a running session, so they are made when asked for)."""
+    return Window.partitionBy("session").orderBy("seq")
+
+
+def so_far():
+    return by_session().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def islands(calls: DataFrame, reset: Column, name: str = "island") -> DataFrame:
     """Number of resets so far; rows of one island share state."""
-    return calls.withColumn(name, F.sum(F.coalesce(reset, F.lit(False)).cast("int")).over(SO_FAR).cast("long"))
+    return calls.withColumn(name, F.sum(F.coalesce(reset, F.lit(False)).cast("int")).over(so_far()).cast("long"))
 
 
 def epoch_islands(calls: DataFrame, epoch: str = "epoch") -> DataFrame:
     """Islands that begin wherever the epoch changes, also back to an earlier one."""
-    return islands(calls.withColumn("__was", F.lag(epoch).over(BY_SESSION)), F.col(epoch) != F.col("__was")).drop("__was")
+    return islands(calls.withColumn("__was", F.lag(epoch).over(by_session())), F.col(epoch) != F.col("__was")).drop("__was")
 
 
 def exact_duplicates(calls: DataFrame, size: int = C.DUP_RING) -> DataFrame:
@@ -79,7 +85,7 @@ def observed_bytes(calls: DataFrame) -> DataFrame:
 
 def prompt_as_of(events: DataFrame, is_prompt: Column, text: str = "text") -> DataFrame:
     """``prompt``: the newest prompt at or before a row."""
-    return events.withColumn("prompt", F.last(F.when(is_prompt, F.col(text)), True).over(SO_FAR))
+    return events.withColumn("prompt", F.last(F.when(is_prompt, F.col(text)), True).over(so_far()))
 
 
 def note_once(calls: DataFrame, marked: Column) -> DataFrame:

@@ -1 +1,164 @@
-"""Sources of the engine."""
+"""Sources and sinks: hook events, transcripts, metrics, saved outputs. Schemas are explicit; bad rows drop out."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .. import constants as C
+from ..functions import scalars as S
+
+HOOK_EVENT = (
+    "session_id string, transcript_path string, tool_name string, call_id string, "
+    "tool_input struct<command:string,file_path:string,offset:bigint,limit:bigint>, "
+    "tool_response struct<stdout:string,stderr:string,output:string,interrupted:boolean,exitCode:int,exit_code:int,code:int,"
+    "file:struct<filePath:string,content:string>,content:array<struct<type:string,text:string>>>, tool_output string, _corrupt_record string"
+)
+TRANSCRIPT = "type string, isMeta boolean, isSidechain boolean, origin struct<kind:string>, message struct<role:string,content:string>, _corrupt_record string"
+METRICS = (
+    "ts string, tag string, strategy string, changed boolean, lossy boolean, inBytes bigint, outBytes bigint, inLines bigint, outLines bigint, omittedLines bigint, "
+    "errors bigint, warnings bigint, sidecar boolean, hostTruncated boolean, runtime string, profile string, inTokEst bigint, outTokEst bigint, tokenClass string, "
+    "estimator string, cmdWord string, cmdHash string, bypass boolean, applied boolean, durMs double, verbatim boolean, dupExact boolean, dupAgeMs bigint, "
+    "narrationWords bigint, narrationExceeded boolean, recovery struct<candidate:boolean,kind:string,precedingMarkerKind:string,precedingLossy:boolean,"
+    "precedingApplied:boolean,ageMs:bigint,seqGap:bigint>, mcp struct<mode:string,blocks:bigint,wouldInBytes:bigint,wouldOutBytes:bigint,lossy:boolean,strategies:array<string>>, _corrupt_record string"
+)
+
+
+def whole_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``path, text``: a row a file."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
+def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    return rows.select(*rows.columns).where("_corrupt_record IS NULL").drop("_corrupt_record")
+
+
+def shell_hook_events(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each field of a shell result, or for a read's content; malformed events drop out."""
+    rows = _json(spark, path, HOOK_EVENT)
+    r = F.col("tool_response")
+    fields = F.array(F.struct(F.lit("stdout").alias("field"), r["stdout"].alias("text")), F.struct(F.lit("stderr").alias("field"), r["stderr"].alias("text")), F.struct(F.lit("content").alias("field"), r["file"]["content"].alias("text")))
+    code = F.coalesce(r["exitCode"], r["exit_code"], r["code"], F.when(r["interrupted"], 1))
+    return rows.select("session_id", "call_id", "tool_name", "tool_input.*", code.alias("exit_code"), F.explode(F.filter(fields, lambda x: F.coalesce(x["text"], F.lit("")) != "")).alias("x")).select("*", "x.*").drop("x")
+
+
+def joined_hook_events(spark: SparkSession, path: str) -> DataFrame:
+    """One text an event: stdout, stderr and output where they are not empty, else the plain output."""
+    rows = _json(spark, path, HOOK_EVENT)
+    r = F.col("tool_response")
+    parts = F.filter(F.array(r["stdout"], r["stderr"], r["output"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    text = F.when(F.size(parts) > 0, F.array_join(parts, "\n")).otherwise(F.col("tool_output"))
+    return rows.select("session_id", "call_id", "tool_input.command", text.alias("text"))
+
+
+def block_events(spark: SparkSession, path: str) -> DataFrame:
+    """A row a content block, in order."""
+    rows = _json(spark, path, HOOK_EVENT)
+    return rows.select("session_id", "call_id", "tool_name", F.posexplode("tool_response.content").alias("block", "x")).select("session_id", "call_id", "tool_name", "block", "x.type", "x.text")
+
+
+def content_text(blocks: Column) -> Column:
+    """Text blocks of a message, joined by line ends; null without any."""
+    texts = F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"])
+    return F.when(F.size(texts) > 0, F.array_join(texts, "\n"))
+
+
+def transcript(spark: SparkSession, path: str, tail_bytes: int | None = C.TAIL_BYTES) -> DataFrame:
+    """Lines of a transcript by file, newest ``tail_bytes`` of each: ``path, pos, line`` and the parsed fields.
+
+    Positions come from whole files, as readers of lines keep no order. A line that the limit cuts drops out.
+    """
+    files = whole_texts(spark, path)
+    rows = files.select("path", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    if tail_bytes is not None:
+        size = F.sum(F.octet_length("line") + 1).over(Window.partitionBy("path").orderBy(F.desc("pos"))) - 1
+        rows = rows.withColumn("after", size).where(F.col("after") <= tail_bytes).drop("after")
+    rows = rows.where(F.trim("line") != "").withColumn("v", F.try_parse_json("line")).where("v IS NOT NULL")
+    get = lambda p, t: F.try_variant_get("v", p, t)
+    return rows.select("path", "pos", "line", get("$.type", "string").alias("type"), get("$.isMeta", "boolean").alias("is_meta"), get("$.isSidechain", "boolean").alias("is_sidechain"), get("$.origin.kind", "string").alias("origin"), F.to_json(get("$.message.content", "variant")).alias("content"))
+
+
+def is_user_prompt(rows: DataFrame) -> Column:
+    """A prompt of a person: a plain text, or text blocks without tool results."""
+    person = (F.col("type") == "user") & ~F.coalesce("is_meta", F.lit(False)) & ~F.coalesce("is_sidechain", F.lit(False)) & F.coalesce(F.col("origin") == "human", F.lit(True))
+    blocks = F.from_json("content", "array<struct<type:string,text:string>>")
+    typed = F.exists(blocks, lambda b: b["type"] == "text") & ~F.exists(blocks, lambda b: b["type"] == "tool_result")
+    return person & F.coalesce(F.col("content").startswith('"') | typed, F.lit(False))
+
+
+def last_prompt(rows: DataFrame) -> DataFrame:
+    """``path, prompt``: the newest prompt's text; empty without one."""
+    blocks = F.from_json("content", "array<struct<type:string,text:string>>")
+    text = F.when(F.col("content").startswith('"'), F.get_json_object(F.concat(F.lit('{"t":'), F.col("content"), F.lit("}")), "$.t")).otherwise(content_text(blocks))
+    own = rows.withColumn("own", is_user_prompt(rows)).withColumn("text", text)
+    return own.groupBy("path").agg(F.coalesce(F.max_by(F.when(F.col("own"), F.col("text")), F.when(F.col("own"), F.col("pos"))), F.lit("")).alias("prompt"))
+
+
+def metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Metrics records; blank and malformed lines drop out; ``ts_ms`` in milliseconds."""
+    rows = _json(spark, path, METRICS)
+    return rows.withColumn("ts_ms", F.unix_millis(F.try_to_timestamp("ts")))
+
+
+def append_metrics(records: DataFrame, path: str) -> None:
+    """Append records as JSON lines."""
+    records.write.mode("append").json(path)
+
+
+def append_log(done: DataFrame, path: str) -> None:
+    """Append a line a call: tag, bytes in and out."""
+    done.select(F.format_string("%s %d -> %d", "tag", "inBytes", "outBytes").alias("value")).write.mode("append").text(path)
+
+
+def write_sidecars(done: DataFrame, path: str) -> int:
+    """Save what condensing moved out, once a name; returns how many were new. Runs again without effect.
+
+    A saved output is a row: name, content, and its facts (schema 2).
+    """
+    spark = done.sparkSession
+    new = done.where("sidecar IS NOT NULL").select(
+        F.element_at(F.split("sidecarPath", "/"), -1).alias("name"),
+        F.col("sidecar").alias("content"),
+        F.lit(2).alias("schema"),
+        F.when(F.col("hostComplete"), "complete-cleaned").otherwise("host-truncated").alias("kind"),
+        "runtime",
+        F.size(F.split("sidecar", "\n", -1)).cast("long").alias("total_lines"),
+        F.octet_length("sidecar").cast("long").alias("bytes"),
+        S.sha256_name(F.col("sidecar")).alias("content_hash"),
+        F.current_timestamp().alias("created_at"),
+    ).dropDuplicates(["name"])
+    known = _saved(spark, path)
+    if known is not None:
+        new = new.join(known.select("name"), "name", "left_anti")
+    n = new.count()
+    if n:
+        new.write.mode("append").parquet(path)
+    return n
+
+
+def _saved(spark: SparkSession, path: str) -> DataFrame | None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
+
+
+def sidecar_meta(rows: DataFrame) -> DataFrame:
+    """Facts of saved outputs from their JSON: schema 2 as it is, schema 1 in the same form, others null."""
+    v = F.try_parse_json("meta")
+    get = lambda p, t: F.try_variant_get(v, p, t)
+    version = get("$.schema", "int")
+    total = F.when(version == 1, F.coalesce(get("$.totalLines", "bigint"), get("$.totalLinesObserved", "bigint"))).otherwise(get("$.totalLinesObserved", "bigint"))
+    made = F.struct(version.alias("schema"), total.alias("total_lines"), get("$.contentHash", "string").alias("content_hash"), get("$.runtime", "string").alias("runtime"))
+    return rows.withColumn("facts", F.when(version.isin(1, 2), made))
+
+
+def expired(saved: DataFrame, now: Column, hours: int = C.TTL_HOURS, most: int = C.SWEEP_MAX) -> DataFrame:
+    """Saved outputs to sweep: the oldest that are past their time, a bounded number a sweep."""
+    return saved.where(F.col("created_at") < now - F.expr(f"INTERVAL {hours} HOURS")).orderBy("created_at", "name").limit(most)
+
+
+def hook_response(done: DataFrame) -> DataFrame:
+    """``value``: a JSON answer for each applied rewrite."""
+    body = F.to_json(F.struct(F.struct(F.lit("PostToolUse").alias("hookEventName"), F.col("emitted").alias("updatedToolOutput")).alias("hookSpecificOutput")))
+    return done.where("applied AND emitted IS NOT NULL").select(body.alias("value"))
