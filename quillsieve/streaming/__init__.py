@@ -1,4 +1,4 @@
-"""Streaming forms of the session operators: keyed state with a time to live, equal to the batch folds."""
+"""Streaming forms of the session operators: keyed state that may have a time to live, equal to the batch folds."""
 
 from __future__ import annotations
 
@@ -15,12 +15,14 @@ from ..operators import sessions
 from ..sources import write_sidecars
 
 STATE = "value string"
-#: Idle sessions lose their state after this many milliseconds.
-IDLE_MS = 24 * 3600 * 1000
+#: Milliseconds after which an idle session loses its state. Set it for streams that never end (a day, say); with it,
+#: a stream keeps making batches to find idle sessions, so one that is to end by itself (availableNow) leaves it None.
+IDLE_MS: int | None = None
 
 
-def _keyed(rows: DataFrame, step, outputs: str, idle_ms: int = IDLE_MS) -> DataFrame:
+def _keyed(rows: DataFrame, step, outputs: str) -> DataFrame:
     """Apply ``step(state, row) -> (state, dict)`` to a session's rows in order of ``seq``; state is a JSON value."""
+    idle_ms = IDLE_MS
 
     def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -33,11 +35,12 @@ def _keyed(rows: DataFrame, step, outputs: str, idle_ms: int = IDLE_MS) -> DataF
             held, values = step(held, row)
             made.append({"session": key[0], "seq": row["seq"], **values})
         state.update((json.dumps(held),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         if made:
             yield pd.DataFrame(made)
 
-    return rows.groupBy("session").applyInPandasWithState(run, f"session string, seq long, {outputs}", STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("session").applyInPandasWithState(run, f"session string, seq long, {outputs}", STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def pressure_bands(calls: DataFrame) -> DataFrame:
