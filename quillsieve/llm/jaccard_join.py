@@ -3,9 +3,9 @@
 Distinct shingles are hashed into the segments of a size tier. Two sets of Jaccard similarity t and more differ in at
 most h shingles (h depends on the tier's largest size), so if segment i may differ in fewer than e_i shingles and the
 e_i add up to more than h, some segment agrees within its own bound. e_i is 1 (equal segments meet) but for the first
-segment, where it is 2 (equal up to one shingle: its one-deletion neighbourhood is indexed too), and, where a tier has
-segments to spare, 0 for the segments whose signatures are the most frequent in the corpus: those are indexed, but do
-not look for partners. Tiers are size ranges; a set near the lower end of its tier is indexed in the tier below too.
+segment, where it is 2 (equal up to one shingle: its one-deletion neighbourhood is indexed too), and, where a set's size
+leaves segments to spare, 0 for the segments whose signatures are the most frequent in the corpus: those are indexed,
+but do not look for partners. The smaller set of a pair asks, so a set asks in its own tier alone. Tiers are size ranges; a set near the lower end of its tier is indexed in the tier below too.
 
 Candidates are verified on the texts. A signature's members are first held against one hub, the member with most
 shared signatures; what is connected then needs no further test. Signatures whose members are still apart get more
@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import graph
-from .common import whole_text, written
+from .common import partitions_for, whole_text, written
 
-SPARE = 2  # segments of a tier that a set may leave out, where h is 4 and more
-DELETION, PARITY, SPARING = 1, 2, 4  # flags in a signature's lowest bits
+SPARE = 2  # segments of a tier beyond what its largest set needs, where h is 4 and more
+DELETION, PARITY = 1, 2  # flags in a signature's lowest bits: of the first segment; parity of the tier's number
+SIG_BITS = 40  # of a signature's bits that travel; its bucket gives more
 
 
 def words_of(text: str) -> list[bytes]:
@@ -80,15 +81,23 @@ def tier(size: int) -> tuple[int, int, int]:
         number, low = number + 1, high + 1
 
 
+def most_different(size: int, percent: int) -> int:
+    """Most shingles that a set of this size and a similar one, as large or larger, can differ in."""
+    return (size + 100 * size // percent) * (100 - percent) // (100 + percent)
+
+
 @functools.cache
-def layout(low: int, high: int, percent: int) -> tuple[int, int]:
-    """Segments and spare segments of a tier; none where only equal sets can be similar."""
-    partner = 100 * high // percent
-    differ = (high + partner) * (100 - percent) // (100 + percent)
-    if differ == 0:
-        return 0, 0
-    spare = SPARE if differ >= 4 else 0
-    return differ + spare, spare
+def layout(high: int, percent: int) -> int:
+    """Segments of a tier whose largest set has ``high`` shingles; none where only equal sets can be similar."""
+    differ = most_different(high, percent)
+    return differ + (SPARE if differ >= 4 else 0)
+
+
+def spare_of(size: int, percent: int) -> int:
+    """Segments of its own tier that a set of this size need not look for partners with: the bounds of the others add
+    up to more than it can differ by (the first segment's bound is 2)."""
+    segments = layout(tier(size)[2], percent)
+    return max(0, segments - most_different(size, percent)) if segments else 0
 
 
 def signatures(h: np.ndarray, percent: int) -> list[np.ndarray]:
@@ -99,7 +108,7 @@ def signatures(h: np.ndarray, percent: int) -> list[np.ndarray]:
     if low > 1 and 100 * (low - 1) >= percent * size:
         tiers.append(tier(low - 1))
     for number, low, high in tiers:
-        segments, spare = layout(low, high, percent)
+        segments = layout(high, percent)
         if not segments:
             continue
         at = ((h >> np.uint64(24)) % np.uint64(segments)).astype(np.int64)
@@ -107,7 +116,7 @@ def signatures(h: np.ndarray, percent: int) -> list[np.ndarray]:
         sums = np.zeros(segments, np.uint64)
         np.add.at(sums, at, element)
         base = np.arange(segments, dtype=np.uint64) + np.uint64(number << 20)
-        flags = np.uint64((number & 1) * PARITY + (SPARING if spare else 0))
+        flags = np.uint64((number & 1) * PARITY)
         signed = _mix(sums + _mix(base)) & ~np.uint64(7) | flags
         first = element[at == 0]
         near = _mix(sums[0] - first + _mix(base[:1])) & ~np.uint64(7) | flags | np.uint64(DELETION)
@@ -116,7 +125,7 @@ def signatures(h: np.ndarray, percent: int) -> list[np.ndarray]:
     return out
 
 
-def _sets(n: int):
+def _sets(n: int, percent: int):
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
@@ -125,34 +134,91 @@ def _sets(n: int):
                 h = shingle_hashes(words_of(text.as_py()), n)
                 sizes.append(len(h))
                 keys.append(xxhash.xxh3_64_intdigest(h.tobytes()) - 2**63 if len(h) else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "n", "key"])
+            spare = [spare_of(s, percent) if s else 0 for s in sizes]
+            parity = [(tier(s)[0] & 1) * PARITY if s else 0 for s in sizes]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(spare, pa.int32()), pa.array(parity, pa.int32())], names=["doc_id", "n", "key", "spare", "parity"])
 
     return run
 
 
-def _signed(n: int, percent: int):
+def _signed(n: int, percent: int, buckets: int, chunk_rows: int = 1_500_000, hot_share: float = 0.02):
+    """Signatures of a chunk of documents, by bucket: sorted arrays of signatures and keys, one row a bucket.
+
+    A signature that more than ``hot_share`` of a chunk's sets have leaves the arrays: its members become plain rows
+    (bucket -1), and one marked entry tells the bucket. So no bucket grows with a group of near copies.
+    """
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    names = ["bucket", "sigs", "keys", "sig", "key"]
+
+    def finish(parts, keys, sizes):
+        sig = np.concatenate(parts)
+        key = np.repeat(np.array(keys, np.int64), sizes)
+        bucket = (sig >> np.uint64(SIG_BITS)).astype(np.int64) % buckets
+        short = sig & np.uint64(2**SIG_BITS - 1) | (bucket.astype(np.uint64) << np.uint64(SIG_BITS))
+        order = np.argsort(short, kind="stable")
+        short, key = short[order], key[order]
+        first = np.flatnonzero(np.r_[True, short[1:] != short[:-1]])
+        count = np.diff(np.r_[first, len(short)])
+        often = np.repeat(count > max(64, hot_share * len(keys)), count)
+        if often.any():
+            for start in range(0, int(often.sum()), 100_000):
+                s, k = (v[often][start : start + 100_000] for v in (short.view(np.int64), key))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), -1, np.int32)), pa.nulls(len(s), pa.binary()), pa.nulls(len(s), pa.binary()), pa.array(s), pa.array(k)], names=names)
+            marks = np.unique(short[often])
+            short, key = np.r_[short[~often], marks], np.r_[key[~often], np.full(len(marks), HOT, np.int64)]
+            order = np.argsort(short, kind="stable")
+            short, key = short[order], key[order]
+        cuts = np.searchsorted(short, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(SIG_BITS))
+        low = np.ascontiguousarray(short.astype("<u8")[:, None].view(np.uint8)[:, : SIG_BITS // 8])
+        rows = [(b, low[x:y].tobytes(), key[x:y].tobytes(), None, None) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+        for start in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[start : start + 64]), kinds)], names=names)
+
     def run(batches):
+        parts, keys, sizes, known, total = [], [], [], set(), 0
         for batch in batches:
-            texts, out, keys, total = batch.column(0), [], [], 0
-            for text in texts:
+            for text in batch.column(0):
                 h = shingle_hashes(words_of(text.as_py()), n)
-                found = signatures(h, percent) if len(h) else []
-                rows = sum(map(len, found))
-                if rows:
-                    out += found
-                    keys.append(np.full(rows, xxhash.xxh3_64_intdigest(h.tobytes()) - 2**63, np.int64))
-                    total += rows
-                if total > 200_000:
-                    yield _rows(out, keys)
-                    out, keys, total = [], [], 0
-            if out:
-                yield _rows(out, keys)
+                key = xxhash.xxh3_64_intdigest(h.tobytes()) - 2**63
+                found = signatures(h, percent) if len(h) and key not in known else []
+                if found:
+                    known.add(key)
+                    own = np.unique(np.concatenate(found))
+                    parts.append(own)
+                    keys.append(key)
+                    sizes.append(len(own))
+                    total += len(own)
+                if total > chunk_rows:
+                    yield from finish(parts, keys, sizes)
+                    parts, keys, sizes, known, total = [], [], [], set(), 0
+        if parts:
+            yield from finish(parts, keys, sizes)
 
     return run
 
 
-def _rows(out, keys):
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(keys))], names=["sig", "key"])
+HOT = -(2**63)  # stands for the plain rows of a signature
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Signatures of a bucket with two sets and more: a row for each (signature, key), with how many there are."""
+    width = SIG_BITS // 8
+    raw = np.frombuffer(b"".join(table.column("sigs").to_pylist()), np.uint8).reshape(-1, width)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :width] = raw
+    bucket = np.uint64(table.column("bucket")[0].as_py())
+    sig = wide.view("<u8").ravel() | bucket << np.uint64(SIG_BITS)
+    key = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64)
+    order = np.lexsort((key, sig))
+    sig, key = sig[order], key[order]
+    once = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]
+    sig, key = sig[once], key[once]
+    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    count = np.diff(np.r_[first, len(sig)])
+    marked = np.repeat(key[first] == HOT, count)
+    n = np.repeat(count, count) + marked * 1_000_000_000
+    keep = ((n > 1) & (key != HOT)) if len(n) else np.zeros(0, bool)
+    return pa.table({"sig": sig[keep].view(np.int64), "key": key[keep], "n": n[keep].astype(np.int64)})
 
 
 def _keyed(n: int):
@@ -212,18 +278,20 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90, hubs: int = 4) -> DataF
     before the join; links between different sets are verified on the words themselves. Repeated rows stay.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    sets = written(narrow.mapInArrow(_sets(n), "doc_id long, n long, key long"))
+    sets = written(narrow.mapInArrow(_sets(n, percent), "doc_id long, n long, key long, spare int, parity int"))
     named = narrow.where("doc_id IS NOT NULL")
-    rows = named.select("text").mapInArrow(_signed(n, percent), "sig long, key long")
-    often = rows.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
-    shared = rows.join(often, "sig").distinct()
-    by_key = Window.partitionBy("key", F.col("sig").bitwiseAND(F.lit(PARITY)))
-    skippable = (F.col("sig").bitwiseAND(F.lit(DELETION | SPARING)) == SPARING).cast("int")
-    rank = F.row_number().over(by_key.orderBy(F.desc("skippable"), F.desc("n"), "sig"))
-    weighed = shared.withColumn("skippable", skippable).withColumns({"rank": rank, "weight": F.count("*").over(by_key)})
-    members = written(weighed.select("sig", "key", "weight", ((F.col("skippable") == 0) | (F.col("rank") > SPARE)).alias("asks")))
-    first_of = sets.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"))
+    buckets = 4 * partitions_for(docs.sparkSession)
+    arrays = written(named.select("text").mapInArrow(_signed(n, percent, buckets), "bucket int, sigs binary, keys binary, sig long, key long"))
+    met = arrays.where("bucket >= 0").select("bucket", "sigs", "keys").groupBy("bucket").applyInArrow(_shared, "sig long, key long, n long")
+    hot = arrays.where("bucket < 0").select("sig", "key").distinct().withColumn("n", F.lit(2_000_000_000).cast("long"))
+    first_of = sets.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.max("n").alias("size"), F.max("spare").alias("spare"), F.max("parity").alias("parity"))
     first_of = written(first_of)
+    flag = F.col("sig").bitwiseAND(F.lit(DELETION)) == DELETION
+    own_tier = F.col("sig").bitwiseAND(F.lit(PARITY)) == F.col("parity")
+    shared = met.union(hot).join(first_of.select("key", "size", "spare", "parity"), "key").withColumns({"own": own_tier, "whole": own_tier & ~flag})
+    rank = F.row_number().over(Window.partitionBy("key", "whole").orderBy(F.desc("n"), "sig"))
+    weighed = shared.withColumns({"rank": rank, "weight": F.count("*").over(Window.partitionBy("key", "whole"))})
+    members = written(weighed.select("sig", "key", "size", "weight", (F.col("own") & (~F.col("whole") | (F.col("rank") > F.col("spare")))).alias("asks")))
     apart = members.groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.max("asks").alias("any")).where("low <> high AND any")
     members = written(members.join(apart.select("sig"), "sig", "left_semi"))
     wanted = members.select("key").distinct().join(first_of, "key").select("key", F.col("node").alias("doc_id"))
@@ -238,16 +306,18 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90, hubs: int = 4) -> DataF
             own = members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
             split = own.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("asks").alias("any")).where("low <> high AND any")
             own = written(own.join(split.select("sig"), "sig", "left_semi"))
-            members = own.select("sig", "key", "weight", "asks")
+            members = own.select("sig", "key", "size", "weight", "asks")
         if not own.limit(1).count():
             break
         if turn < hubs:
             order = F.struct(F.col("weight"), F.xxhash64("key", F.lit(turn))) if turn % 2 == 0 else F.struct(F.xxhash64("key", F.lit(turn)), F.col("weight"))
-            hub = own.groupBy("sig").agg(F.max_by(F.struct("key", "label", "asks"), order).alias("hub"))
-            met = own.join(hub, "sig").where("label <> hub.label AND (asks OR hub.asks)").select("key", F.col("hub.key").alias("other"))
+            hub = own.groupBy("sig").agg(F.max_by(F.struct("key", "label", "asks", "size"), order).alias("hub"))
+            near = f"100 * least(size, hub.size) >= {percent} * greatest(size, hub.size)"
+            met = own.join(hub, "sig").where(f"label <> hub.label AND (asks OR hub.asks) AND {near}").select("key", F.col("hub.key").alias("other"))
         else:  # every pair that is still apart
-            right = own.select("sig", F.col("key").alias("other"), F.col("label").alias("r_label"), F.col("asks").alias("r_asks"))
-            met = own.join(right, "sig").where("key < other AND label <> r_label AND (asks OR r_asks)").select("key", "other")
+            right = own.select("sig", F.col("key").alias("other"), F.col("label").alias("r_label"), F.col("size").alias("r_size"))
+            larger = f"size <= r_size AND 100 * size >= {percent} * r_size"
+            met = own.where("asks").join(right, "sig").where(f"label <> r_label AND {larger}").select("key", "other")
         pairs = met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
