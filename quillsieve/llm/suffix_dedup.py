@@ -11,7 +11,7 @@ windows have equal anchors at equal offsets. The windows of an anchor form a fra
 repeated as a whole; anchors met once hold nothing. Only different fragments of one anchor need sorting: they become
 sequences of 32-byte blocks counted from the anchor, and suffixes that share their first blocks are neighbours in the
 suffix array. The bytes before and after these blocks are then compared exactly. Anchors with very many different
-fragments would make a hot task; their windows meet one by one under a 128-bit hash instead.
+fragments would make a hot task; they are split by hashes of these blocks instead.
 """
 
 from __future__ import annotations
@@ -188,7 +188,7 @@ _NAMES = ["doc_id", "text_key", "n_bytes", "sha", "anchor", "body", "first", "la
 _SCHEMA = "doc_id long, text_key long, n_bytes long, sha string, anchor long, body long, first int, last int"
 
 
-def _cut(length: int):
+def _cut(length: int, hot: bool):
     """Fragments of the texts that are asked for: their bytes, and where the anchor is."""
 
     def run(batches):
@@ -198,6 +198,8 @@ def _cut(length: int):
             for k in range(batch.num_rows):
                 raw = batch.column(0)[k].as_py().encode()
                 for part in batch.column(1)[k].as_py():
+                    if part["hot"] is not hot:
+                        continue
                     a, b = part["first"], part["last"]
                     piece = raw[a : b + length]
                     _, first, _, at = anchors(np.frombuffer(piece, np.uint8), np.array([len(piece)]), length)
@@ -318,19 +320,62 @@ def _sorted_blocks(length: int, block_bytes: int = 600_000):
     return run
 
 
+def _cores(length: int):
+    """Of every 32nd place of a fragment, counted from its anchor: the blocks that all windows near it hold, and these
+    with the bytes around that a window may hold too, under 128-bit hashes."""
+    whole = (length - BLOCK + 1) // BLOCK * BLOCK
+
+    def run(batches):
+        for batch in batches:
+            out = [[] for _ in range(5)]
+            for anchor, body, at, piece in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                for a in range(at % BLOCK, len(piece) - whole + 1, BLOCK):
+                    around = piece[max(0, a - BLOCK + 1) : a + length]
+                    for column, v in zip(out, (anchor, body, a, a - at, xxhash.xxh3_128_digest(piece[a : a + whole]) + xxhash.xxh3_128_digest(around + b"%d" % min(a, BLOCK - 1)))):
+                        column.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["anchor", "body", "place", "off", "both"])
+
+    return run
+
+
 def _windows(length: int):
-    """Every window of the fragments under a 128-bit hash."""
+    """The windows around the places asked for, each under a 128-bit hash."""
 
     def run(batches):
         for batch in batches:
-            for anchor, body, _, piece in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                n = len(piece) - length + 1
-                keys = [xxhash.xxh3_128_digest(piece[k : k + length]) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([body] * n, pa.int64()), pa.array(keys, pa.binary()), pa.array(range(n), pa.int32())], names=["anchor", "body", "window", "at"])
+            out = [[] for _ in range(4)]
+            for anchor, body, piece, places in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                for a in places:
+                    for p in range(max(0, a - BLOCK + 1), min(a, len(piece) - length) + 1):
+                        for column, v in zip(out, (anchor, body, xxhash.xxh3_128_digest(piece[p : p + length]), p)):
+                            column.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["anchor", "body", "window", "at"])
 
     return run
 
 
+def split_anchors(cut: DataFrame, length: int) -> DataFrame:
+    """What :func:`repeated_windows` finds, for anchors whose fragments are too many for one task: by hashes of what the
+    windows around a place share. Places met once drop out; where the bytes around are met again too, all windows are
+    repeats; only the windows of what is left meet one by one."""
+    cores = written(cut.select("anchor", "body", "at", "piece").mapInArrow(_cores(length), "anchor long, body long, place int, off int, both binary"))
+    named = cores.select("anchor", "body", "place", "off", F.substring("both", 1, 16).alias("core"), F.substring("both", 17, 16).alias("around"))
+    key = ["anchor", "off", "core"]
+    kinds = written(named.groupBy(*key, "around").agg(F.count("*").alias("n"), F.min(F.struct("body", "place")).alias("one")))
+    places = kinds.groupBy(*key).agg(F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1")
+    sizes = cut.select("anchor", "body", (F.octet_length("piece") - length).alias("top"))
+    alike = named.join(kinds.where("n > 1").select(*key, "around"), [*key, "around"]).groupBy("anchor", "body").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    sure = alike.join(sizes, ["anchor", "body"]).select("anchor", "body", F.greatest(F.lit(0), F.col("low") - (BLOCK - 1)).alias("low"), F.least("high", "top").alias("high"))
+    # one of each kind at the places where some kind is met once: its windows may equal those of any other kind
+    asked = kinds.join(places.where("least = 1"), key).groupBy("anchor", F.col("one.body").alias("body")).agg(F.collect_list("one.place").alias("places"))  # as many as a fragment has
+    windows = written(cut.select("anchor", "body", "piece").join(asked, ["anchor", "body"]).select("anchor", "body", "piece", "places").mapInArrow(_windows(length), "anchor long, body long, window binary, at int"))
+    twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
+    met = windows.join(twice, ["anchor", "window"]).groupBy("anchor", "body").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    return sure.union(met)
+
+
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans joined where they overlap or touch."""
     out: list = []
@@ -359,14 +404,14 @@ def _kept():
     return run
 
 
-def dedup(docs: DataFrame, length: int = 400, most_fragments: int = 200) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 400, most_fragments: int | None = None) -> DataFrame:
     """Per row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and ``kept_text`` (null where nothing is removed;
     bytes that no longer form a character are replaced there, not in the digest).
 
     Null texts count as empty. Strings are judged on the input, in any row, the same one included, never across rows;
     repeated rows and exact copies are repeats of each other. Null ids stay. Equal texts are told by a 64-bit hash,
     equal fragments by a 128-bit one (anchor and body). ``most_fragments``: different fragments of an anchor beyond
-    which its windows meet one by one.
+    which it is split (:func:`split_anchors`); by default 200, or a partition's share of all if that is more.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
@@ -379,26 +424,27 @@ def dedup(docs: DataFrame, length: int = 400, most_fragments: int = 200) -> Data
     shared = written(bodies.join(groups, "anchor").select("anchor", "body", "n", "one", "kinds", "least"))
     whole = shared.where("n > 1").select("anchor", "body", F.lit(0).alias("low"), (F.col("one.last") - F.col("one.first")).alias("high"))
 
-    asked = shared.where("kinds > 1 AND least = 1").select(F.col("one.text_key").alias("text_key"), F.struct("anchor", "body", F.col("one.first").alias("first"), F.col("one.last").alias("last")).alias("part"), "kinds")
+    differing = shared.where("kinds > 1 AND least = 1")
+    n = 4 * partitions_for(spark)
+    most = most_fragments or max(200, differing.count() // partitions_for(spark))
+    hot = F.col("kinds") > most
+    any_hot = bool(differing.where(hot).limit(1).count())
+    asked = differing.select(F.col("one.text_key").alias("text_key"), F.struct("anchor", "body", F.col("one.first").alias("first"), F.col("one.last").alias("last"), hot.alias("hot")).alias("part"))
     lists = asked.groupBy("text_key").agg(F.collect_list("part").alias("parts"))  # as many as a text has
     touched = met.join(shared.select("anchor").distinct(), "anchor", "left_semi").select("text_key").distinct()
     any_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     wanted = texts_of.join(touched, "text_key", "left_semi").groupBy("text_key").agg(F.min(any_id).alias("id"))
     wanted = wanted.join(lists, "text_key", "left").hint("shuffle_hash")
-    found = narrow.withColumn("id", any_id).join(wanted, "id").select("text_key", "text", "parts").mapInArrow(_own, "text_key long, text string, parts array<struct<anchor:bigint,body:bigint,first:int,last:int>>").dropDuplicates(["text_key"])
+    found = narrow.withColumn("id", any_id).join(wanted, "id").select("text_key", "text", "parts").mapInArrow(_own, "text_key long, text string, parts array<struct<anchor:bigint,body:bigint,first:int,last:int,hot:boolean>>").dropDuplicates(["text_key"])
     found = written(found)
 
-    cut = found.where("parts IS NOT NULL").select("text", "parts").mapInArrow(_cut(length), "anchor long, body long, at int, piece binary")
-    hot = shared.where(F.col("kinds") > most_fragments).select("anchor").distinct()
-    cut = written(cut.join(hot.withColumn("hot", F.lit(True)), "anchor", "left"))
-    n = 4 * partitions_for(spark)
-    calm = cut.where("hot IS NULL").select("anchor", "body", "at", "piece").repartition(n, "anchor").sortWithinPartitions("anchor", "body")
-    result = "anchor long, body long, low int, high int"
-    sorted_out = calm.mapInArrow(_sorted_blocks(length), result)
-    windows = cut.where("hot").select("anchor", "body", "at", "piece").mapInArrow(_windows(length), "anchor long, body long, window binary, at int")
-    twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
-    by_window = windows.join(twice, ["anchor", "window"]).groupBy("anchor", "body").agg(F.min("at").alias("low"), F.max("at").alias("high"))
-    repeats = written(whole.union(sorted_out).union(by_window).groupBy("anchor", "body").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    piece = "anchor long, body long, at int, piece binary"
+    cut = found.where("parts IS NOT NULL").select("text", "parts")
+    calm = cut.mapInArrow(_cut(length, False), piece).repartition(n, "anchor").sortWithinPartitions("anchor", "body")
+    result = calm.mapInArrow(_sorted_blocks(length), "anchor long, body long, low int, high int")
+    if any_hot:
+        result = result.union(split_anchors(written(cut.mapInArrow(_cut(length, True), piece)), length))
+    repeats = written(whole.union(result).groupBy("anchor", "body").agg(F.min("low").alias("low"), F.max("high").alias("high")))
 
     spans = met.join(repeats, ["anchor", "body"]).select("text_key", (F.col("first") + F.col("low")).alias("a"), (F.col("first") + F.col("high") + length).alias("b")).distinct()
     by_text = spans.groupBy("text_key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # as many as a text has
