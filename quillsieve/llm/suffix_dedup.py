@@ -166,26 +166,26 @@ def _fragments(length: int):
             raw = [t.as_py().encode() for t in texts]
             keys = [xxhash.xxh3_64_intdigest(r) - 2**63 for r in raw]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.int64()), pa.array([len(r) for r in raw], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()), *(pa.nulls(len(raw), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
+                [batch.column(0), pa.array(keys, pa.int64()), pa.array([len(r) for r in raw], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()), *(pa.nulls(len(raw), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))],
                 names=_NAMES,
             )
             for start, end in common.slices([len(r) for r in raw], 1_000_000):
                 joined = b"".join(raw[start:end])
                 ends = np.cumsum([len(r) for r in raw[start:end]])
-                anchor, first, last, _ = anchors(np.frombuffer(joined, np.uint8), ends, length)
+                anchor, first, last, place = anchors(np.frombuffer(joined, np.uint8), ends, length)
                 if len(anchor):
                     text = np.searchsorted(ends, first, side="right")
                     begin = np.r_[0, ends[:-1]][text]
                     own = np.array(keys[start:end])[text]
                     bodies = [xxhash.xxh3_64_intdigest(joined[a : b + length]) - 2**63 for a, b in zip(first.tolist(), last.tolist())]
                     size = len(own)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.array(own), pa.nulls(size, pa.int64()), pa.nulls(size, pa.string()), pa.array(anchor), pa.array(bodies, pa.int64()), pa.array((first - begin).astype(np.int32)), pa.array((last - begin).astype(np.int32))], names=_NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.array(own), pa.nulls(size, pa.int64()), pa.nulls(size, pa.string()), pa.array(anchor), pa.array(bodies, pa.int64()), pa.array((first - begin).astype(np.int32)), pa.array((last - begin).astype(np.int32)), pa.array((place - first).astype(np.int32))], names=_NAMES)
 
     return run
 
 
-_NAMES = ["doc_id", "text_key", "n_bytes", "sha", "anchor", "body", "first", "last"]
-_SCHEMA = "doc_id long, text_key long, n_bytes long, sha string, anchor long, body long, first int, last int"
+_NAMES = ["doc_id", "text_key", "n_bytes", "sha", "anchor", "body", "first", "last", "at"]
+_SCHEMA = "doc_id long, text_key long, n_bytes long, sha string, anchor long, body long, first int, last int, at int"
 
 
 def _cut(length: int, hot: bool):
@@ -202,10 +202,9 @@ def _cut(length: int, hot: bool):
                         continue
                     a, b = part["first"], part["last"]
                     piece = raw[a : b + length]
-                    _, first, _, at = anchors(np.frombuffer(piece, np.uint8), np.array([len(piece)]), length)
                     out[0].append(part["anchor"])
                     out[1].append(part["body"])
-                    out[2].append(int(at[0]) if len(at) else 0)
+                    out[2].append(part["at"])
                     out[3].append(piece)
                     total += len(piece)
                 if total > 4_000_000:
@@ -417,8 +416,8 @@ def dedup(docs: DataFrame, length: int = 400, most_fragments: int | None = None)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     rows = written(narrow.mapInArrow(_fragments(length), _SCHEMA))
     texts_of = rows.where("n_bytes IS NOT NULL").select("doc_id", "text_key", "n_bytes", "sha")
-    met = rows.where("anchor IS NOT NULL").select("text_key", "anchor", "body", "first", "last")
-    bodies = met.groupBy("anchor", "body").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "first", "last")).alias("one"))
+    met = rows.where("anchor IS NOT NULL").select("text_key", "anchor", "body", "first", "last", "at")
+    bodies = met.groupBy("anchor", "body").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "first", "last", "at")).alias("one"))
     bodies = written(bodies)
     groups = bodies.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.min("n").alias("least")).where("total > 1")
     shared = written(bodies.join(groups, "anchor").select("anchor", "body", "n", "one", "kinds", "least"))
@@ -429,13 +428,13 @@ def dedup(docs: DataFrame, length: int = 400, most_fragments: int | None = None)
     most = most_fragments or max(200, differing.count() // partitions_for(spark))
     hot = F.col("kinds") > most
     any_hot = bool(differing.where(hot).limit(1).count())
-    asked = differing.select(F.col("one.text_key").alias("text_key"), F.struct("anchor", "body", F.col("one.first").alias("first"), F.col("one.last").alias("last"), hot.alias("hot")).alias("part"))
+    asked = differing.select(F.col("one.text_key").alias("text_key"), F.struct("anchor", "body", F.col("one.first").alias("first"), F.col("one.last").alias("last"), F.col("one.at").alias("at"), hot.alias("hot")).alias("part"))
     lists = asked.groupBy("text_key").agg(F.collect_list("part").alias("parts"))  # as many as a text has
     touched = met.join(shared.select("anchor").distinct(), "anchor", "left_semi").select("text_key").distinct()
     any_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     wanted = texts_of.join(touched, "text_key", "left_semi").groupBy("text_key").agg(F.min(any_id).alias("id"))
     wanted = wanted.join(lists, "text_key", "left").hint("shuffle_hash")
-    found = narrow.withColumn("id", any_id).join(wanted, "id").select("text_key", "text", "parts").mapInArrow(_own, "text_key long, text string, parts array<struct<anchor:bigint,body:bigint,first:int,last:int,hot:boolean>>").dropDuplicates(["text_key"])
+    found = narrow.withColumn("id", any_id).join(wanted, "id").select("text_key", "text", "parts").mapInArrow(_own, "text_key long, text string, parts array<struct<anchor:bigint,body:bigint,first:int,last:int,at:int,hot:boolean>>").dropDuplicates(["text_key"])
     found = written(found)
 
     piece = "anchor long, body long, at int, piece binary"
