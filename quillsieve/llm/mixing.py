@@ -66,9 +66,11 @@ def probabilities(totals: np.ndarray, weights: np.ndarray, keep: float) -> np.nd
     rest = np.r_[np.cumsum((t * w)[::-1])[::-1], 0]
     goal = keep * t.sum()
     for k in range(len(t)):
-        factor = (goal - whole[k]) / rest[k] if rest[k] > 0 else 0.0
+        if rest[k] <= 0:  # all that has a weight is at 1
+            return (weights > 0).astype(float)
+        factor = (goal - whole[k]) / rest[k]
         if factor * w[k] <= 1:
-            return np.minimum(1, factor * weights) if factor > 0 else (weights > 0).astype(float)
+            return np.minimum(1, factor * weights)
     return np.ones(len(t))
 
 
