@@ -9,8 +9,8 @@ but do not look for partners. The smaller set of a pair asks, so a set asks in i
 
 Candidates are verified on the texts. A signature's members are first held against one hub, the member with most
 shared signatures; what is connected then needs no further test. Signatures whose members are still apart get more
-hubs, and at last every pair that remains, so no link between different components is lost, and groups of near copies
-never give all their pairs.
+hubs. What remains apart is tested within clusters of shared signatures, in pairs of blocks, so no link between
+different components is lost, and no pairs become rows but those with hubs.
 """
 
 from __future__ import annotations
@@ -270,6 +270,74 @@ def _wide(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame
     return two.mapInArrow(_verified(n, percent), "a long, b long, ok boolean")
 
 
+BLOCK_SETS = 512  # sets of a block; a task holds two blocks
+
+
+def _apart(own: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links among members that hubs left apart: each cluster of sets that share signatures, in pairs of blocks.
+
+    A task holds two blocks, counts all intersections there and gives links that connect what is connected; pairs never
+    become rows. A set goes to as many tasks as its cluster has blocks.
+    """
+    low = own.groupBy("sig").agg(F.min("key").alias("low"))
+    stars = own.join(low, "sig").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
+    clusters = graph.components(stars)
+    counts = clusters.groupBy("label").agg(F.ceil(F.count("*") / F.lit(BLOCK_SETS)).cast("int").alias("blocks"))
+    placed = clusters.join(counts, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.col("node").alias("key"), F.col("label").alias("cluster"), "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    held = dealt.join(texts, "key").select("key", "cluster", "block", "i", "j", "text")
+    return written(held.groupBy("cluster", "i", "j").applyInArrow(_block_links(n, percent), "a long, b long"))
+
+
+def _block_links(n: int, percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        keys, block = np.asarray(table.column("key")), np.asarray(table.column("block"))
+        order = np.argsort(block, kind="stable")
+        keys, block = keys[order], block[order]
+        texts = table.column("text").take(pa.array(order))
+        grams = [shingle_hashes(words_of(t.as_py()), n) for t in texts]
+        _, flat = np.unique(np.concatenate(grams), return_inverse=True)
+        sizes = np.array([len(g) for g in grams])
+        row = np.repeat(np.arange(len(grams)), sizes)
+        often = np.bincount(flat) > 1  # only these are in intersections
+        column = np.cumsum(often) - 1
+        keep = often[flat]
+        row, at = row[keep], column[flat[keep]]
+        by = np.argsort(at, kind="stable")
+        row, at = row[by], at[by]
+        cut = int((block == block[0]).sum()) if len(block) else 0
+        left, right = (slice(0, cut), slice(cut, len(grams))) if cut < len(grams) else (slice(0, cut), slice(0, cut))
+        both = np.zeros((left.stop - left.start, right.stop - right.start), np.float32)
+        width = 4096
+        for start in range(0, int(often.sum()), width):
+            x, y = np.searchsorted(at, (start, start + width))
+            part = np.zeros((len(grams), width), np.float32)
+            part[row[x:y], at[x:y] - start] = 1
+            both += part[left] @ part[right].T
+        total = sizes[left][:, None] + sizes[right][None, :] - both
+        a, b = np.nonzero((100 * both >= percent * total) & (both > 0))
+        a, b = a + left.start, b + right.start
+        top = list(range(len(grams)))
+
+        def find(k):
+            while top[k] != k:
+                top[k] = top[top[k]]
+                k = top[k]
+            return k
+
+        out = []
+        for x, y in zip(a.tolist(), b.tolist()):
+            x0, y0 = find(x), find(y)
+            if x0 != y0 and similar(*(shingles(words_of(texts[k].as_py()), n) for k in (x, y)), percent):
+                top[y0] = x0
+                out.append((x, y))
+        x = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": keys[x[:, 0]], "b": keys[x[:, 1]]})
+
+    return run
+
+
 def link(docs: DataFrame, n: int = 3, percent: int = 90, hubs: int = 4) -> DataFrame:
     """Per row ``doc_id, n_shingles long, component_id long``: the smallest id reachable by links, itself included.
 
@@ -309,21 +377,19 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90, hubs: int = 4) -> DataF
             members = own.select("sig", "key", "size", "weight", "asks")
         if not own.limit(1).count():
             break
-        if turn < hubs:
+        if turn == hubs:
+            links = _apart(own, texts, n, percent)
+        else:
             order = F.struct(F.col("weight"), F.xxhash64("key", F.lit(turn))) if turn % 2 == 0 else F.struct(F.xxhash64("key", F.lit(turn)), F.col("weight"))
             hub = own.groupBy("sig").agg(F.max_by(F.struct("key", "label", "asks", "size"), order).alias("hub"))
             near = f"100 * least(size, hub.size) >= {percent} * greatest(size, hub.size)"
             met = own.join(hub, "sig").where(f"label <> hub.label AND (asks OR hub.asks) AND {near}").select("key", F.col("hub.key").alias("other"))
-        else:  # every pair that is still apart
-            right = own.select("sig", F.col("key").alias("other"), F.col("label").alias("r_label"), F.col("size").alias("r_size"))
-            larger = f"size <= r_size AND 100 * size >= {percent} * r_size"
-            met = own.where("asks").join(right, "sig").where(f"label <> r_label AND {larger}").select("key", "other")
-        pairs = met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        seen = written(_wide(pairs, texts, n, percent))
-        tested = seen.select("a", "b") if tested is None else tested.union(seen.select("a", "b"))
-        links = seen.where("ok").select("a", "b")
+            pairs = met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            seen = written(_wide(pairs, texts, n, percent))
+            tested = seen.select("a", "b") if tested is None else tested.union(seen.select("a", "b"))
+            links = seen.where("ok").select("a", "b")
         if links.limit(1).count():
             labels = _merged(labels, links)
 

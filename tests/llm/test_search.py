@@ -14,7 +14,7 @@ def odd_vectors(spark, n=400, d=6):
     x = rng.normal(size=(n, d)).round(1)
     table = [(k, [float(v) for v in x[k]], 1, "z") for k in range(n)]
     table += [(1000 + k, [float(v) for v in x[3]], 1, "z") for k in range(0, 80, 4)]  # copies, some of them queries
-    table += [(2000, None, 1, "z"), (2020, [1.0, None, 0, 0, 0, 0], 1, "z"), (2040, [float("nan")] * d, 1, "z"), (2060, [float("inf")] * d, 1, "z"), (2080, [0.0] * d, 1, "z"), (None, [1.0] * d, 1, "z"), (2100, [1.0, 2.0], 1, "z")]
+    table += [(2000, None, 1, "z"), (2020, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1, "z"), (2040, [float("nan")] * d, 1, "z"), (2060, [float("inf")] * d, 1, "z"), (2080, [0.0] * d, 1, "z"), (None, [1.0] * d, 1, "z"), (2100, [1.0, 2.0], 1, "z")]
     return spark.createDataFrame(table + [table[0], table[40]], SCHEMA)
 
 
