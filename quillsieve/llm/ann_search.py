@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import vectors
 from .common import partitions_for, written
@@ -126,7 +127,7 @@ def neighbour_graph_of(x: np.ndarray, asked: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-s, k - 1, axis=1)[:, :k]
 
 
-def search(rows: DataFrame, k: int = 20, divisor: int = 20, sample: int = 8192, target_recall: float = 0.95, part_rows: int = 8192, most_parts: int = 256, query_block: int = 2048) -> DataFrame:
+def search(rows: DataFrame, k: int = 20, divisor: int = 20, sample: int = 8192, target_recall: float = 0.95, part_rows: int = 2048, most_parts: int = 256, query_block: int = 2048) -> DataFrame:
     """``query_id long, rank int, vec_id long, score double`` of every row whose id ``divisor`` divides.
 
     ``sample`` bounds the rows that the index is fitted on; every row is indexed. Vectors null, empty, all zero or
@@ -149,20 +150,28 @@ def search(rows: DataFrame, k: int = 20, divisor: int = 20, sample: int = 8192,
     router = learn(x, parts, target_recall, k)
     shared = spark.sparkContext.broadcast(router)  # as large as dimensions times parts
 
-    routed = written(groups.select("cid", "v").mapInArrow(_route(shared, 1), "cid long, v array<double>, part int"))
-    asking = written(queries.mapInArrow(_route(shared, router.probes), "cid long, v array<double>, part int"))
+    routed = written(groups.select("cid", "v").mapInArrow(_route(shared, 1), "cid long, v array<double>, part int, turn int"))
+    asking = written(queries.mapInArrow(_route(shared, router.probes), "cid long, v array<double>, part int, turn int"))
     sizes = {r.part: r.n for r in routed.groupBy("part").agg(F.count("*").alias("n")).collect()}
     counts = {r.part: r.n for r in asking.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    shape = [(p, vectors.blocks_for(n, part_rows), vectors.blocks_for(counts.get(p, 0), query_block)) for p, n in sizes.items()]
+    shape = [(p, vectors.blocks_for(n, 2 * part_rows), vectors.blocks_for(counts.get(p, 0), query_block)) for p, n in sizes.items()]
 
     def grid() -> DataFrame:  # one row a part
         return F.broadcast(spark.createDataFrame(shape or [(0, 1, 1)], "part int, across int, down int"))
 
-    left = asking.join(grid(), "part").withColumn("d", vectors.block_of(F.col("cid"), F.col("down"))).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
     right = routed.join(grid(), "part").withColumn("a", vectors.block_of(F.col("cid"), F.col("across"))).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("down") - 1)))
     n = min(max(1, sum(a * d for _, a, d in shape)), 4 * partitions_for(spark))
     keys = ["part", "a", "d"]
-    found = left.repartition(n, *keys).groupBy(*keys).cogroup(right.repartition(n, *keys).groupBy(*keys)).applyInArrow(_rerank(k + 1), "qid long, cid long, score double")
+
+    def rerank(some: DataFrame) -> DataFrame:
+        left = some.join(grid(), "part").withColumn("d", vectors.block_of(F.col("cid"), F.col("down"))).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
+        return left.repartition(n, *keys).groupBy(*keys).cogroup(right.repartition(n, *keys).groupBy(*keys)).applyInArrow(_rerank(k + 1), "qid long, cid long, score double")
+
+    # the most probable part first: what it gives bounds what the other parts need to list
+    first = written(rerank(asking.where("turn = 0").withColumn("low", F.lit(None).cast("double"))))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))
+    lows = first.withColumn("r", rank).where(F.col("r") == k + 1).select(F.col("qid").alias("cid"), F.col("score").alias("low"))
+    found = first.union(rerank(asking.where("turn > 0").join(lows, "cid", "left")))
     return vectors.ranked(found, groups, asked, k, "double")
 
 
@@ -175,7 +184,7 @@ def _route(shared, probes: int):
                 best = np.argsort(-z, axis=1, kind="stable")[:, :probes]
                 at = np.repeat(np.arange(len(z)), best.shape[1])
                 taken = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(best.ravel().astype(np.int32))], names=["cid", "v", "part"])
+                yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(best.ravel().astype(np.int32)), pa.array(np.tile(np.arange(best.shape[1], dtype=np.int32), len(z)))], names=["cid", "v", "part", "turn"])
 
     return run
 
@@ -185,13 +194,14 @@ def _rerank(most: int):
         out = [[], [], []]
         if len(left) and len(right):
             q, x = vectors.same_width(vectors.matrix(left.column("v")), vectors.matrix(right.column("v")))
-            qid, cid = np.asarray(left.column("cid")), np.asarray(right.column("cid"))
+            qid, cid, lows = np.asarray(left.column("cid")), np.asarray(right.column("cid")), left.column("low").to_pylist()
             for start in range(0, len(q), 256):
                 rough = q[start : start + 256] @ x.T
                 for k, s in enumerate(rough):
                     slack = 1e-9 * max(1.0, np.abs(s).max())  # the product of matrices may round another way
                     cut = np.partition(s, len(s) - most)[len(s) - most] - slack if len(s) > most else -np.inf
-                    at = np.flatnonzero(s >= cut)
+                    low = lows[start + k]
+                    at = np.flatnonzero(s >= (cut if low is None else max(cut, low - slack)))
                     exact = (q[start + k] * x[at]).sum(1)
                     best = vectors.best_rows(exact, cid[at], most)
                     out[0].append(np.full(len(best), qid[start + k]))
