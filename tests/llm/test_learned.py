@@ -78,7 +78,8 @@ def test_lm_probabilities_add_up():
     weights, bias = rng.normal(size=(lm_scoring.FEATURES, lm_scoring.CLASSES)), rng.normal(size=lm_scoring.CLASSES)
     p = np.exp(lm_scoring.log_probabilities(weights, bias, np.arange(0, lm_scoring.CLASSES**2, 97)))
     assert np.allclose(p.sum(1), 1)
-    assert lm_scoring.contexts(np.array([5, 6, 7, 8, 9]), np.array([0, 3])).tolist() == [c2 * lm_scoring.CLASSES + c1 for c2, c1 in ((63, 63), (63, 5), (5, 6), (63, 63), (63, 8))]
+    end = lm_scoring.END_CLASS
+    assert lm_scoring.contexts(np.array([5, 6, 7, 8, 9]), np.array([0, 3])).tolist() == [c2 * lm_scoring.CLASSES + c1 for c2, c1 in ((end, end), (end, 5), (5, 6), (end, end), (end, 8))]
 
 
 def test_lm_beats_its_base_on_held_out_rows(spark):
