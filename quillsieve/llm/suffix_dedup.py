@@ -417,9 +417,11 @@ def dedup(docs: DataFrame, length: int = 400, most_fragments: int | None = None)
     rows = written(narrow.mapInArrow(_fragments(length), _SCHEMA))
     texts_of = rows.where("n_bytes IS NOT NULL").select("doc_id", "text_key", "n_bytes", "sha")
     met = rows.where("anchor IS NOT NULL").select("text_key", "anchor", "body", "first", "last", "at")
+    often = met.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    met = written(met.join(often, "anchor", "left_semi"))  # an anchor met once holds no repeat
     bodies = met.groupBy("anchor", "body").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "first", "last", "at")).alias("one"))
     bodies = written(bodies)
-    groups = bodies.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.min("n").alias("least")).where("total > 1")
+    groups = bodies.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
     shared = written(bodies.join(groups, "anchor").select("anchor", "body", "n", "one", "kinds", "least"))
     whole = shared.where("n > 1").select("anchor", "body", F.lit(0).alias("low"), (F.col("one.last") - F.col("one.first")).alias("high"))
 
@@ -430,7 +432,7 @@ def dedup(docs: DataFrame, length: int = 400, most_fragments: int | None = None)
     any_hot = bool(differing.where(hot).limit(1).count())
     asked = differing.select(F.col("one.text_key").alias("text_key"), F.struct("anchor", "body", F.col("one.first").alias("first"), F.col("one.last").alias("last"), F.col("one.at").alias("at"), hot.alias("hot")).alias("part"))
     lists = asked.groupBy("text_key").agg(F.collect_list("part").alias("parts"))  # as many as a text has
-    touched = met.join(shared.select("anchor").distinct(), "anchor", "left_semi").select("text_key").distinct()
+    touched = met.select("text_key").distinct()
     any_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     wanted = texts_of.join(touched, "text_key", "left_semi").groupBy("text_key").agg(F.min(any_id).alias("id"))
     wanted = wanted.join(lists, "text_key", "left").hint("shuffle_hash")
