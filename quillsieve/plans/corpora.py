@@ -137,7 +137,7 @@ def calls(d: Dialect) -> str:
 def records(d: Dialect) -> str:
     """Metrics records of the calls, old and new vintages."""
     return (
-        "SELECT CAST(event_id AS BIGINT) AS pos, CAST(event_id * 7000 AS BIGINT) AS ts_ms, CASE WHEN event_id % 4 = 0 THEN 'pi' ELSE 'claude' END AS tag, "
+        "SELECT CAST(event_id AS BIGINT) AS pos, CAST(event_id * 7000 AS BIGINT) AS ts_ms, CASE WHEN event_id % 4 = 0 THEN 'library' ELSE 'hook' END AS tag, "
         "CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'generic' WHEN 2 THEN 'tsc' WHEN 3 THEN 'sidecar' ELSE 'jsonl-log' END AS strategy, event_id % 2 = 0 AS changed, event_id % 3 = 0 AS lossy, "
         "CAST(1000 + k * 37 AS BIGINT) AS inBytes, CAST(400 + k * 11 AS BIGINT) AS outBytes, event_id % 5 = 3 AS sidecar, CASE WHEN event_id % 2 = 0 THEN CAST(300 + k AS BIGINT) END AS inTokEst, "
         "CASE WHEN event_id % 2 = 0 THEN CAST(90 + k AS BIGINT) END AS outTokEst, CASE WHEN event_id % 4 = 0 THEN 'prose' WHEN event_id % 4 = 2 THEN 'code' END AS tokenClass, CASE WHEN event_id % 2 = 0 THEN 'class/1' END AS estimator, "
