@@ -321,14 +321,14 @@ def _sorted_blocks(length: int, block_bytes: int = 600_000):
 
 def _cores(length: int):
     """Of every 32nd place of a fragment, counted from its anchor: the blocks that all windows near it hold, and these
-    with the bytes around that a window may hold too, under 128-bit hashes."""
+    with the bytes around that a window may hold too, under 128-bit hashes. Places that no window is near are left out."""
     whole = (length - BLOCK + 1) // BLOCK * BLOCK
 
     def run(batches):
         for batch in batches:
             out = [[] for _ in range(5)]
             for anchor, body, at, piece in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                for a in range(at % BLOCK, len(piece) - whole + 1, BLOCK):
+                for a in range(at % BLOCK, len(piece) - length + BLOCK, BLOCK):
                     around = piece[max(0, a - BLOCK + 1) : a + length]
                     for column, v in zip(out, (anchor, body, a, a - at, xxhash.xxh3_128_digest(piece[a : a + whole]) + xxhash.xxh3_128_digest(around + b"%d" % min(a, BLOCK - 1)))):
                         column.append(v)

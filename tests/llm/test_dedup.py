@@ -51,6 +51,30 @@ def test_dedup(spark, most, length):
     assert [got[k] for k in range(len(texts))] == brute_dedup(texts, length)
 
 
+def endings(seed=7):
+    """Texts that share only their last 390 bytes, for many endings: anchors at every place modulo 32."""
+    rng = random.Random(seed)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for _ in range(64):
+        end = some(390)
+        texts += [some(rng.randint(300, 700)) + end for _ in range(3)]
+        body = some(60)
+        texts += [some(200) + body + end, some(210) + body + end + some(5)]  # a true repeat beside
+    return texts
+
+
+def test_split_anchors_leave_short_endings(spark):
+    texts = endings()
+    cut = S._fragments(400)
+    batch = S.pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    rows = [r for b in cut([batch]) for r in b.to_pylist() if r["anchor"] is not None]
+    assert {(r["at"] if "at" in r else 0) % 32 for r in rows} == set(range(32))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.dedup(docs, 400, 1).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_dedup(texts, 400)
+
+
 def test_dedup_odd_rows(spark):
     docs = odd_docs(spark)
     texts = collected(docs)
