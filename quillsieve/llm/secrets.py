@@ -40,8 +40,14 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", "[0-9a-f]{16,}", 0, 16),  # a run of 16 and more: the same spans as all runs less the short ones
 )
+#: What follows a key's header: all up to its END line, with no other header between; without one, the base64 lines
+#: that follow, indented or not. Loops are over single classes, as Java recurses in others.
+KEY_REST = (
+    "(?:[^-]*(?:-[^-]+){0,64}-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    r"|(?:[\x20\t\r\n]*(?:Proc-Type|DEK-Info): [^\r\n]*){0,2}(?:[A-Za-z0-9+/=\\\x20\t\r\n]*[A-Za-z0-9+/=]{40,}[A-Za-z0-9+/=\\\r\n]*[\x20\t\r\n]*[A-Za-z0-9+/=]*|[\x20\t\r\n\\]*[A-Za-z0-9+/=\\]{16,}[A-Za-z0-9+/=\\\r\n]*)|)"
+)
 MORE = (
-    Rule("private_key", "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("private_key", "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----" + KEY_REST),
     Rule("code_host", "gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("chat", "xox[abpr]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
