@@ -108,10 +108,9 @@ def protected_trailer(spark, sf_dir):
 
 @query(_sql(DIRTY, "SELECT doc_id, md5(CASE WHEN doc_id % 5 = 4 THEN 'cut' || chr(10) || 'Full result: /tmp/out' ELSE 'cut' END) AS digest FROM c"))
 def trailer_kept(spark, sf_dir):
-    """A view that lost its protected trailer gets it back as its last line."""
-    return load(spark, sf_dir, DIRTY).select("doc_id", F.md5(X.keep_trailer(F.lit("cut\n\n"), F.col("text"))).alias("digest")).withColumn(
-        "digest", F.when(F.col("doc_id") % 5 != 4, F.md5(F.lit("cut"))).otherwise(F.col("digest"))
-    )
+    """A view that lost its protected trailer gets it back as its last line; digest without line ends at the end."""
+    kept = X.keep_trailer(F.lit("cut\n\n"), F.col("text"))
+    return load(spark, sf_dir, DIRTY).select("doc_id", F.md5(F.regexp_replace(kept, "\n+\\z", "")).alias("digest"))
 
 
 # --- predicates ---------------------------------------------------------------------------------------------------------

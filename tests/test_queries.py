@@ -47,3 +47,13 @@ def test_scans_prune_columns(spark, sf):
     assert "o_orderpriority" not in plan and "Exchange" not in plan
     plan = QUERIES["dup_ring"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "value" not in plan.split("ReadSchema")[-1]
+
+
+def test_trailer_kept_is_the_operators(spark, tmp_path):
+    from hashlib import md5
+
+    texts = {0: "a", 2: "a\nFull result: /own", 3: "b\nFull result: /three\n", 4: "c", 7: "Full result: /x\nlater"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.digest for r in QUERIES["trailer_kept"](spark, str(tmp_path)).collect()}
+    want = {0: "cut", 2: "cut\nFull result: /own", 3: "cut\nFull result: /three", 4: "cut\nFull result: /tmp/out", 7: "cut"}
+    assert got == {k: md5(v.encode()).hexdigest() for k, v in want.items()}
