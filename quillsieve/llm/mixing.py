@@ -8,15 +8,18 @@ stays as a sampling weight over 1, so weighted totals still meet the targets.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_text, written
 
-NONE, OTHER = "(none)", "(other)"
+NONE = "(none)"
 AXES = ("source", "lang", "topic")
-#: Levels of an axis with a target of their own, most tokens first; further ones share OTHER. Bounds the cell table.
+#: A table of more cells than these levels make stays distributed; else it is raked on the driver. Every level has its
+#: own target either way, and the weights are the same.
 MOST_LEVELS = {"source": 500, "lang": 50, "topic": 16}
 #: Targets are the own shares to these powers: 1 leaves an axis as it is, 0 makes its levels equal.
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.7}
@@ -75,25 +78,24 @@ def probabilities(totals: np.ndarray, weights: np.ndarray, keep: float) -> np.nd
 
 
 def cells(docs: DataFrame) -> DataFrame:
-    """Token totals of every cell, levels beyond the most of an axis joined as OTHER."""
-    sums = written(with_axes(docs).groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
-    for a in AXES:
-        own = sums.groupBy(a).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), a).limit(MOST_LEVELS[a]).select(F.col(a), F.col(a).alias(f"{a}_level"))
-        sums = sums.join(F.broadcast(own), a, "left")  # as many rows as levels have targets
-    return sums.withColumns({f"{a}_level": F.coalesce(f"{a}_level", F.lit(OTHER)) for a in AXES})
+    """Token totals of every cell."""
+    return written(with_axes(docs).groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
 
 
 def calibrate(docs: DataFrame, keep: float = 0.5, targets: dict | None = None) -> DataFrame:
-    """A row for each cell of levels: the ``*_level`` columns, ``weight`` and ``probability``.
+    """A row for each cell: the axes, ``weight`` and ``probability``.
 
     ``targets`` gives shares by level for an axis; axes and levels without one follow POWERS.
     """
     spark = docs.sparkSession
-    table = cells(docs).groupBy(*(f"{a}_level" for a in AXES)).agg(F.sum("tokens").alias("tokens")).orderBy(*(f"{a}_level" for a in AXES)).collect()  # bounded by MOST_LEVELS
+    sums = cells(docs)
+    if sums.count() > math.prod(MOST_LEVELS.values()):
+        return _calibrate_far(sums, keep, targets)
+    table = sums.orderBy(*AXES).collect()  # bounded by MOST_LEVELS
     totals = np.array([r.tokens for r in table], float)
     levels, wanted = [], []
     for a in AXES:
-        names, level = np.unique([r[f"{a}_level"] for r in table], return_inverse=True) if table else (np.array([]), np.zeros(0, int))
+        names, level = np.unique([r[a] for r in table], return_inverse=True) if table else (np.array([]), np.zeros(0, int))
         own = np.bincount(level, totals, minlength=len(names))
         share = np.where(own > 0, own, 0) ** POWERS[a]
         if share.sum():
@@ -104,8 +106,66 @@ def calibrate(docs: DataFrame, keep: float = 0.5, targets: dict | None = None) -
         wanted.append(totals.sum() * share / share.sum() if share.sum() else share)
     weights = rake(totals, levels, wanted) if table else totals
     chance = probabilities(totals, weights, keep) if table else totals
-    rows = [(*(r[f"{a}_level"] for a in AXES), float(w), float(p)) for r, w, p in zip(table, weights, chance)]
-    return spark.createDataFrame(rows, ", ".join(f"{a}_level string" for a in AXES) + ", weight double, probability double")
+    rows = [(*(r[a] for a in AXES), float(w), float(p)) for r, w, p in zip(table, weights, chance)]
+    return F.broadcast(spark.createDataFrame(rows, ", ".join(f"{a} string" for a in AXES) + ", weight double, probability double"))
+
+
+def _targets_far(sums: DataFrame, a: str, targets: dict | None, total: float) -> DataFrame:
+    """Each level of an axis with its marginal ``target`` and the factor ``f_<axis>`` to begin with."""
+    power = F.pow(F.col("own"), F.lit(float(POWERS[a])))
+    table = sums.groupBy(a).agg(F.sum("tokens").cast("double").alias("own"))
+    whole = table.agg(F.sum(power)).first()[0] or 1.0
+    table = table.withColumn("share", power / F.lit(whole))
+    if given := (targets or {}).get(a):
+        given = table.sparkSession.createDataFrame([(str(k), float(v)) for k, v in given.items()], f"{a} string, given double")
+        table = table.join(given, a, "left").withColumn("share", F.coalesce("given", "share"))
+    table = written(table.select(a, "share"))
+    shares = table.agg(F.sum("share")).first()[0] or 1.0
+    return written(table.select(a, (F.lit(total) * F.col("share") / F.lit(shares)).alias("target"), F.lit(1.0).alias(f"f_{a}")))
+
+
+def _calibrate_far(sums: DataFrame, keep: float, targets: dict | None, rounds: int = 500, close: float = 1e-12) -> DataFrame:
+    """:func:`rake` and :func:`probabilities` without the cell table on the driver. A cell's weight is the product of its
+    levels' factors, so a step is a sum of the cells by an axis, and only that axis' factors are written again."""
+    total = float(sums.agg(F.sum("tokens")).first()[0] or 0)
+    factors = {a: _targets_far(sums, a, targets, total) for a in AXES}
+
+    def weighted(axes):
+        out, product = sums, F.col("tokens").cast("double")
+        for a in axes:
+            out, product = out.join(factors[a].select(a, f"f_{a}"), a), product * F.col(f"f_{a}")
+        return out.withColumn("raked", product)
+
+    for _ in range(rounds):
+        most = 0.0
+        for a in AXES:
+            now = weighted([x for x in AXES if x != a]).groupBy(a).agg(F.sum("raked").alias("rest"))
+            met = F.col(f"f_{a}") * F.col("rest")
+            step = F.when(met > 0, F.col("target") / met).otherwise(F.lit(1.0))
+            new = written(factors[a].join(now, a).select(a, "target", (F.col(f"f_{a}") * step).alias(f"f_{a}"), F.when(met > 0, F.abs(step - 1)).alias("moved")))
+            most = max(most, new.agg(F.max("moved")).first()[0] or 0.0)
+            factors[a] = new.drop("moved")
+        if most < close:
+            break
+    weight = F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(F.lit(1.0))
+    table = written(weighted(AXES).select(*AXES, "tokens", weight.alias("weight")))
+    # cells at probability 1 grow in number until the factor over the rest takes no more of them over 1
+    factor, before = 0.0, -1
+    while True:
+        at_one = (F.col("weight") * F.lit(factor)) > 1
+        r = table.agg(
+            F.sum(F.when(at_one, 1).otherwise(0)).alias("n"),
+            F.sum(F.when(at_one, F.col("tokens")).otherwise(0)).cast("double").alias("whole"),
+            F.sum(F.when(~at_one, F.col("tokens") * F.col("weight")).otherwise(0.0)).alias("rest"),
+        ).first()
+        if r.n is None or r.n == before:
+            chance = F.least(F.lit(1.0), F.col("weight") * F.lit(factor))
+            break
+        if r.rest <= 0:  # all that has a weight is at 1
+            chance = (F.col("weight") > 0).cast("double")
+            break
+        before, factor = r.n, max(factor, (keep * total - r.whole) / r.rest)
+    return table.select(*AXES, "weight", chance.alias("probability"))
 
 
 def draw(docs: DataFrame, seed: str = "mix") -> Column:
@@ -123,10 +183,7 @@ def sample(docs: DataFrame, keep: float = 0.5, targets: dict | None = None, seed
     """
     plan = calibrate(docs, keep, targets)
     named = with_axes(docs.select("doc_id", "text", "source", "lang")).withColumn("u", draw(docs, seed)).drop("text")
-    for a in AXES:
-        known = plan.select(F.col(f"{a}_level").alias(a)).distinct().withColumn(f"{a}_level", F.col(a))
-        named = named.join(F.broadcast(known), a, "left").withColumn(f"{a}_level", F.coalesce(f"{a}_level", F.lit(OTHER)))
-    out = named.join(F.broadcast(plan), [f"{a}_level" for a in AXES], "left")
+    out = named.join(plan, list(AXES), "left")
     chance = F.col("probability")
     return out.select("doc_id", *AXES, "n_tokens", "weight", "probability", (F.col("u") < chance).alias("sampled"), F.when(chance > 0, F.col("weight") / chance).alias("sample_weight"))
 
@@ -136,8 +193,5 @@ def sampled_rows(docs: DataFrame, keep: float = 0.5, targets: dict | None = None
     plan = calibrate(docs, keep, targets)
     named = docs.withColumn("__row", F.struct(*docs.columns)).select("__row", *docs.select("doc_id", "text", "source", "lang").columns)
     named = with_axes(named).withColumn("__u", draw(named, seed))
-    for a in AXES:
-        known = plan.select(F.col(f"{a}_level").alias(a)).distinct().withColumn(f"{a}_level", F.col(a))
-        named = named.join(F.broadcast(known), a, "left").withColumn(f"{a}_level", F.coalesce(f"{a}_level", F.lit(OTHER)))
-    out = named.join(F.broadcast(plan), [f"{a}_level" for a in AXES], "left").where(F.col("__u") < F.col("probability"))
+    out = named.join(plan, list(AXES), "left").where(F.col("__u") < F.col("probability"))
     return out.select("__row.*")

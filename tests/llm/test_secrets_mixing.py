@@ -128,3 +128,19 @@ def test_rare_levels_share_one(spark, level, monkeypatch):
     monkeypatch.setitem(mixing.MOST_LEVELS, "source", 2)
     out = mixing.sample(odd_docs(spark))
     assert out.count() == odd_docs(spark).count() and out.where("weight IS NULL").count() == 0
+
+
+def test_every_level_has_its_target(spark, monkeypatch):
+    """Few levels named for the driver: each still has its own target, and a distributed table gives the same weights."""
+    docs = spark.createDataFrame([(k, "a b c d " * (1 + k % 7) + "e " * (k % 3), ("en", "fr")[k % 2], f"s{k % 5}") for k in range(70)], "doc_id long, text string, lang string, source string")
+    targets = {"source": {"s0": 0.0, "s2": 0.0, "s3": 0.0}}
+    by_cell = lambda: {tuple(r[a] for a in mixing.AXES): (r.weight, r.probability) for r in mixing.calibrate(docs, 0.5, targets).collect()}
+    monkeypatch.setitem(mixing.MOST_LEVELS, "source", 2)
+    r = mixing.sample(docs, 0.5, targets).toPandas()
+    shares = (r.n_tokens * r.weight).groupby(r.source).sum() / r.n_tokens.sum()
+    assert all(shares[k] == 0 and r[r.source == k].probability.max() == 0 for k in ("s0", "s2", "s3"))
+    near = by_cell()
+    for a in mixing.AXES:
+        monkeypatch.setitem(mixing.MOST_LEVELS, a, 1)
+    far = by_cell()
+    assert near.keys() == far.keys() and all(np.allclose(near[k], far[k], atol=1e-9) for k in near)
