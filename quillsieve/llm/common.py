@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,7 +39,40 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_to = path
+    return made
+
+
+def released(*tables: DataFrame | None) -> None:
+    """Delete tables of :func:`written` that nothing reads any more, with the shuffle files of the jobs that made them.
+
+    What a later step still reads stays, so a lost executor's tasks can run again. Shuffle files go once the driver no
+    longer knows the job, so its unreachable objects are collected here.
+    """
+    spark = None
+    for t in tables:
+        path = getattr(t, "_written_to", None) if t is not None else None
+        if path:
+            spark = t.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(where, True)
+            t._written_to = None
+    if spark is not None:
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+def free_names(taken, *wanted: str) -> dict[str, str]:
+    """Names for own columns that no column of a table has, by what they stand for (case does not tell names apart)."""
+    lower, out = {c.lower() for c in taken}, {}
+    for name in wanted:
+        own = f"__{name}"
+        while own in lower:
+            own = "_" + own
+        out[name] = own
+        lower.add(own)
+    return out
 
 
 def whole_text(column: str = "text") -> Column:

@@ -7,10 +7,11 @@ segment, where it is 2 (equal up to one shingle: its one-deletion neighbourhood
 leaves segments to spare, 0 for the segments whose signatures are the most frequent in the corpus: those are indexed,
 but do not look for partners. The smaller set of a pair asks, so a set asks in its own tier alone. Tiers are size ranges; a set near the lower end of its tier is indexed in the tier below too.
 
-Candidates are verified on the texts. A signature's members are first held against one hub, the member with most
-shared signatures; what is connected then needs no further test. Signatures whose members are still apart get more
-hubs. What remains apart is tested within clusters of shared signatures, in pairs of blocks, so no link between
-different components is lost, and no pairs become rows but those with hubs.
+A set also has a bitmap with a bit flipped for each shingle. Two bitmaps differ in no more bits than their sets differ
+in shingles, so pairs within a signature are first held against that bound; what passes is verified on the texts. A
+signature's members are first held against hubs, the members with most shared signatures, then against the least
+partner that passes the bound, as long as that makes links; what is connected then needs no further test. Last come
+all pairs that pass and are still apart, so no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import graph
-from .common import partitions_for, whole_text, written
+from .common import free_names, partitions_for, released, whole_text, written
 
-SPARE = 2  # segments of a tier beyond what its largest set needs, where h is 4 and more
+SPARE = 4  # a tier has segments beyond what its largest set needs: one for so many, where h is 4 and more; 2 at least
+BLOCK_SETS = 2048  # sets of a signature that a task holds at once; beyond that they meet in pairs of blocks
+MOST_BITS = 1 << 16  # of a bitmap
 DELETION, PARITY = 1, 2  # flags in a signature's lowest bits: of the first segment; parity of the tier's number
 SIG_BITS = 40  # of a signature's bits that travel; its bucket gives more
 
@@ -90,7 +93,7 @@ def most_different(size: int, percent: int) -> int:
 def layout(high: int, percent: int) -> int:
     """Segments of a tier whose largest set has ``high`` shingles; none where only equal sets can be similar."""
     differ = most_different(high, percent)
-    return differ + (SPARE if differ >= 4 else 0)
+    return differ + (max(2, differ // SPARE) if differ >= 4 else 0)
 
 
 def spare_of(size: int, percent: int) -> int:
@@ -125,18 +128,38 @@ def signatures(h: np.ndarray, percent: int) -> list[np.ndarray]:
     return out
 
 
+def bitmap(h: np.ndarray) -> bytes:
+    """A bit for each hash, flipped as often as it is met; as many bits as hashes, rounded up to a power of two."""
+    bits = min(MOST_BITS, max(64, 1 << max(0, len(h) - 1).bit_length()))
+    odd = np.bincount((h >> np.uint64(9)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def bitmaps(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of words, folded to the shortest one's length."""
+    width = min(map(len, maps))
+    rows = []
+    for m in maps:
+        while len(m) > width:
+            half = len(m) // 2
+            m = (int.from_bytes(m[:half], "little") ^ int.from_bytes(m[half:], "little")).to_bytes(half, "little")
+        rows.append(m)
+    return np.frombuffer(b"".join(rows), np.uint64).reshape(len(maps), -1)
+
+
 def _sets(n: int, percent: int):
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            sizes, keys = [], []
+            sizes, keys, maps = [], [], []
             for text in texts:
                 h = shingle_hashes(words_of(text.as_py()), n)
                 sizes.append(len(h))
+                maps.append(bitmap(h) if len(h) else None)
                 keys.append(xxhash.xxh3_64_intdigest(h.tobytes()) - 2**63 if len(h) else None)
             spare = [spare_of(s, percent) if s else 0 for s in sizes]
             parity = [(tier(s)[0] & 1) * PARITY if s else 0 for s in sizes]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(spare, pa.int32()), pa.array(parity, pa.int32())], names=["doc_id", "n", "key", "spare", "parity"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(spare, pa.int32()), pa.array(parity, pa.int32()), pa.array(maps, pa.binary())], names=["doc_id", "n", "key", "spare", "parity", "map"])
 
     return run
 
@@ -197,6 +220,7 @@ def _signed(n: int, percent: int, buckets: int, chunk_rows: int = 1_500_000, hot
     return run
 
 
+BUCKET_SIGNATURES = 1_000_000  # in about as many sets' signatures a task can hold
 HOT = -(2**63)  # stands for the plain rows of a signature
 
 
@@ -258,9 +282,11 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     to = labels.withColumnRenamed("label", "own")
     named = links.join(to.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("own", "a").alias("a"), "b")
     named = named.join(to.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("own", "b").alias("b"))
-    found = written(graph.components(named))
+    found = graph.components(named)
     old = labels.join(found.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-    return written(old.union(found.join(old.select("node"), "node", "left_anti")))
+    made = written(old.union(found.join(old.select("node"), "node", "left_anti")))
+    released(found, labels)
+    return made
 
 
 def _wide(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -270,75 +296,183 @@ def _wide(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame
     return two.mapInArrow(_verified(n, percent), "a long, b long, ok boolean")
 
 
-BLOCK_SETS = 512  # sets of a block; a task holds two blocks
+def _dealt(own: DataFrame, grid: bool) -> DataFrame:
+    """Members (``sig, key, label, size, weight, asks``) with their bitmaps, dealt by signature and pair of blocks ``i, j``.
 
-
-def _apart(own: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links among members that hubs left apart: each cluster of sets that share signatures, in pairs of blocks.
-
-    A task holds two blocks, counts all intersections there and gives links that connect what is connected; pairs never
-    become rows. A set goes to as many tasks as its cluster has blocks.
+    Most signatures have one block. Those with more give each member to all pairs of its block, or (not ``grid``) to
+    its own block alone.
     """
-    low = own.groupBy("sig").agg(F.min("key").alias("low"))
-    stars = own.join(low, "sig").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
-    clusters = graph.components(stars)
-    counts = clusters.groupBy("label").agg(F.ceil(F.count("*") / F.lit(BLOCK_SETS)).cast("int").alias("blocks"))
-    placed = clusters.join(counts, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.col("node").alias("key"), F.col("label").alias("cluster"), "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    held = dealt.join(texts, "key").select("key", "cluster", "block", "i", "j", "text")
-    return written(held.groupBy("cluster", "i", "j").applyInArrow(_block_links(n, percent), "a long, b long"))
-
-
-def _block_links(n: int, percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        keys, block = np.asarray(table.column("key")), np.asarray(table.column("block"))
-        order = np.argsort(block, kind="stable")
-        keys, block = keys[order], block[order]
-        texts = table.column("text").take(pa.array(order))
-        grams = [shingle_hashes(words_of(t.as_py()), n) for t in texts]
-        _, flat = np.unique(np.concatenate(grams), return_inverse=True)
-        sizes = np.array([len(g) for g in grams])
-        row = np.repeat(np.arange(len(grams)), sizes)
-        often = np.bincount(flat) > 1  # only these are in intersections
-        column = np.cumsum(often) - 1
-        keep = often[flat]
-        row, at = row[keep], column[flat[keep]]
-        by = np.argsort(at, kind="stable")
-        row, at = row[by], at[by]
-        cut = int((block == block[0]).sum()) if len(block) else 0
-        left, right = (slice(0, cut), slice(cut, len(grams))) if cut < len(grams) else (slice(0, cut), slice(0, cut))
-        both = np.zeros((left.stop - left.start, right.stop - right.start), np.float32)
-        width = 4096
-        for start in range(0, int(often.sum()), width):
-            x, y = np.searchsorted(at, (start, start + width))
-            part = np.zeros((len(grams), width), np.float32)
-            part[row[x:y], at[x:y] - start] = 1
-            both += part[left] @ part[right].T
-        total = sizes[left][:, None] + sizes[right][None, :] - both
-        a, b = np.nonzero((100 * both >= percent * total) & (both > 0))
-        a, b = a + left.start, b + right.start
-        top = list(range(len(grams)))
-
-        def find(k):
-            while top[k] != k:
-                top[k] = top[top[k]]
-                k = top[k]
-            return k
-
-        out = []
-        for x, y in zip(a.tolist(), b.tolist()):
-            x0, y0 = find(x), find(y)
-            if x0 != y0 and similar(*(shingles(words_of(texts[k].as_py()), n) for k in (x, y)), percent):
-                top[y0] = x0
-                out.append((x, y))
-        x = np.array(out, np.int64).reshape(-1, 2)
-        return pa.table({"a": keys[x[:, 0]], "b": keys[x[:, 1]]})
+    n = partitions_for(own.sparkSession)
+    counts = own.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(BLOCK_SETS)).cast("int").alias("blocks")).where("blocks > 1")
+    placed = own.join(F.broadcast(counts) if counts.count() < 10_000 else counts, "sig", "left")
+    block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).otherwise(F.lit(0))
+    placed = placed.withColumn("block", block)
+    with_ = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)) if grid else F.col("block")
+    cells = placed.withColumn("with", with_).select("sig", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "key", "label", "size", "weight", "asks", "map")
+    return cells.repartition(n, "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "key")
+
+
+SMALL_CELL = 64  # members of a cell whose pairs are laid out together with those of other cells
+
+
+def _near(percent: int, mode: str):
+    """Pairs of a cell's members whose bitmaps allow a link: with its hub ("hub"), each member's least ("least"), "all";
+    or ("any") the members that have any such pair, each beside itself."""
+
+    def room(a, b):
+        return (a + b) * (100 - percent) // (100 + percent)
+
+    def partners(key, label, size, weight, asks, block, maps):
+        words = bitmaps(maps)
+        crossing = (block != block[0]).any()
+
+        def allowed(x):
+            ok = (label[x][:, None] != label[None, :]) & (asks[x][:, None] | asks[None, :])
+            if crossing:
+                ok &= block[x][:, None] != block[None, :]
+            most = room(size[x][:, None], size[None, :])
+            ok &= np.abs(size[x][:, None] - size[None, :]) <= most
+            apart = np.zeros(most.shape, np.int32)
+            for k in range(words.shape[1]):
+                apart += np.bitwise_count(words[x, k][:, None] ^ words[None, :, k])
+            return ok & (apart <= most)
+
+        step = max(1, 4_000_000 // max(1, len(key)))
+        left = np.arange(len(key))
+        if mode in ("hub", "any"):
+            best = np.lexsort((key, weight))[::-1]
+            hubs = best[np.unique(block[best], return_index=True)[1]]  # of each block
+            ok = allowed(hubs)
+            at, met = np.nonzero(ok)
+            if mode == "hub":
+                return key[met], key[hubs[at]]
+            found = set(key[met].tolist()) | set(key[hubs[at]].tolist())
+            left = np.flatnonzero(~ok.any(0))
+        elif len(left):
+            names, count = np.unique(label, return_counts=True)
+            left = np.flatnonzero(label != names[count.argmax()])  # pairs are found from either side
+        out = [[], []]
+        for start in range(0, len(left), step):
+            x = left[start : start + step]
+            ok = allowed(x)
+            if mode == "any":
+                found.update(key[x[ok.any(1)]].tolist())
+                found.update(key[ok.any(0)].tolist())
+            elif mode == "least":
+                some = np.flatnonzero(ok.any(1))
+                out[0].append(key[x[some]])
+                out[1].append(key[ok[some].argmax(1)])  # members are in order of their keys
+            else:
+                a, b = np.nonzero(ok)
+                out[0].append(key[x[a]])
+                out[1].append(key[b])
+        if mode == "any":
+            own = np.array(sorted(found), np.int64)
+            return own, own
+        return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in out)
+
+    def together(first, count, key, label, size, weight, asks, maps):
+        """Pairs of many small cells at once: rows ``first[c]`` to ``first[c] + count[c]`` are a cell."""
+        lows, highs = [], []
+        for n in np.unique(count).tolist():  # at most SMALL_CELL sizes
+            starts = first[count == n]
+            if mode == "hub":
+                rows = starts[:, None] + np.arange(n)
+                hub = rows[np.arange(len(rows)), weight[rows].argmax(1)]
+                x, y = np.repeat(hub, n), rows.ravel()
+                x, y = np.minimum(x, y), np.maximum(x, y)
+            else:
+                i, j = np.triu_indices(n, 1)
+                x, y = (starts[:, None] + i).ravel(), (starts[:, None] + j).ravel()
+            good = (label[x] != label[y]) & (asks[x] | asks[y])
+            x, y = x[good], y[good]
+            good = np.abs(size[x] - size[y]) <= room(size[x], size[y])
+            lows.append(x[good])
+            highs.append(y[good])
+        x, y = np.concatenate(lows), np.concatenate(highs)
+        used = np.unique(np.concatenate([x, y]))
+        width = np.array([len(maps[k]) for k in used.tolist()], np.int64)
+        place = np.zeros(len(key), np.int64)
+        place[used] = np.arange(len(used))
+        least = np.minimum(width[place[x]], width[place[y]])
+        ok = np.zeros(len(x), bool)
+        for w in np.unique(least).tolist():
+            mine = np.flatnonzero(least == w)
+            rows = np.unique(np.concatenate([x[mine], y[mine]]))
+            words = bitmaps([*(maps[k] for k in rows.tolist()), b"\0" * w])
+            at = np.zeros(len(key), np.int64)
+            at[rows] = np.arange(len(rows))
+            step = max(1, 2_000_000 // words.shape[1])
+            for start in range(0, len(mine), step):
+                part = mine[start : start + step]
+                a, b = x[part], y[part]
+                ok[part] = np.bitwise_count(words[at[a]] ^ words[at[b]]).sum(1, dtype=np.int64) <= room(size[a], size[b])
+        x, y = x[ok], y[ok]
+        if mode == "any":
+            own = np.unique(key[np.concatenate([x, y])])
+            return own, own
+        if mode == "least" and len(x):  # x is the lesser key: each member's least partner in its cell
+            cell = np.searchsorted(first, np.concatenate([y, x]), side="right")
+            member, partner = np.concatenate([y, x]), np.concatenate([x, y])
+            order = np.lexsort((key[partner], member, cell))
+            once = np.r_[True, np.diff(member[order]) != 0]
+            return key[member[order][once]], key[partner[order][once]]
+        return key[x], key[y]
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None or not len(held) else pa.concat_tables([held, table]).combine_chunks()
+            if len(held) >= 20_000:
+                yield from cells(held, False)
+                held = held.slice(_last_cell(held))
+        if held is not None:
+            yield from cells(held, True)
+
+    def cells(table, to_end):
+        stop = len(table) if to_end else _last_cell(table)
+        if not stop:
+            return
+        names = ("sig", "i", "j", "block", "key", "label", "size", "weight", "asks")
+        sig, i, j, *columns = (table.column(c).slice(0, stop).to_numpy(zero_copy_only=False) for c in names)
+        block, key, label, size, weight, asks = columns
+        asks = asks.astype(bool)
+        maps = table.column("map").slice(0, stop).to_pylist()
+        edges = np.r_[0, np.flatnonzero((sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, stop]
+        first, count = edges[:-1], np.diff(edges)
+        small = (count > 1) & (count <= SMALL_CELL) & (i[first] == j[first])
+        out = [[], []]
+        if small.any():
+            for column, v in zip(out, together(first[small], count[small], key, label, size, weight, asks, maps)):
+                column.append(v)
+        for x, n in zip(first[~small].tolist(), count[~small].tolist()):
+            if n > 1:
+                c = slice(x, x + n)
+                for column, v in zip(out, partners(key[c], label[c], size[c], weight[c], asks[c], block[c], maps[c])):
+                    column.append(v)
+        if out[0]:
+            a, b = map(np.concatenate, out)
+            once = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            for start in range(0, len(once), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(once[start : start + 100_000, k]) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def link(docs: DataFrame, n: int = 3, percent: int = 90, hubs: int = 4) -> DataFrame:
+def _last_cell(table: pa.Table) -> int:
+    """Where the last cell of a sorted table begins."""
+    n = len(table)
+    if not n:
+        return 0
+    same = np.ones(n, bool)
+    for c in ("sig", "i", "j"):
+        v = table.column(c).to_numpy(zero_copy_only=False)
+        same &= v == v[-1]
+    return int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+
+
+def link(docs: DataFrame, n: int = 3, percent: int = 90, hubs: int = 2) -> DataFrame:
     """Per row ``doc_id, n_shingles long, component_id long``: the smallest id reachable by links, itself included.
 
     Rows with a null or empty text, or without words, are linked with nothing. Rows that share an id are one vertex.
@@ -346,13 +480,14 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90, hubs: int = 4) -> DataF
     before the join; links between different sets are verified on the words themselves. Repeated rows stay.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    sets = written(narrow.mapInArrow(_sets(n, percent), "doc_id long, n long, key long, spare int, parity int"))
+    sets = written(narrow.mapInArrow(_sets(n, percent), "doc_id long, n long, key long, spare int, parity int, map binary"))
     named = narrow.where("doc_id IS NOT NULL")
-    buckets = 4 * partitions_for(docs.sparkSession)
+    shingles_in_all = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = max(4 * partitions_for(docs.sparkSession), int(shingles_in_all * (100 - percent) // 100 // BUCKET_SIGNATURES))
     arrays = written(named.select("text").mapInArrow(_signed(n, percent, buckets), "bucket int, sigs binary, keys binary, sig long, key long"))
     met = arrays.where("bucket >= 0").select("bucket", "sigs", "keys").groupBy("bucket").applyInArrow(_shared, "sig long, key long, n long")
     hot = arrays.where("bucket < 0").select("sig", "key").distinct().withColumn("n", F.lit(2_000_000_000).cast("long"))
-    first_of = sets.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.max("n").alias("size"), F.max("spare").alias("spare"), F.max("parity").alias("parity"))
+    first_of = sets.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.max("n").alias("size"), F.max("spare").alias("spare"), F.max("parity").alias("parity"), F.first("map").alias("map"))
     first_of = written(first_of)
     flag = F.col("sig").bitwiseAND(F.lit(DELETION)) == DELETION
     own_tier = F.col("sig").bitwiseAND(F.lit(PARITY)) == F.col("parity")
@@ -360,38 +495,48 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90, hubs: int = 4) -> DataF
     rank = F.row_number().over(Window.partitionBy("key", "whole").orderBy(F.desc("n"), "sig"))
     weighed = shared.withColumns({"rank": rank, "weight": F.count("*").over(Window.partitionBy("key", "whole"))})
     members = written(weighed.select("sig", "key", "size", "weight", (F.col("own") & (~F.col("whole") | (F.col("rank") > F.col("spare")))).alias("asks")))
-    apart = members.groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.max("asks").alias("any")).where("low <> high AND any")
-    members = written(members.join(apart.select("sig"), "sig", "left_semi"))
-    wanted = members.select("key").distinct().join(first_of, "key").select("key", F.col("node").alias("doc_id"))
+    released(arrays)
+    maps = first_of.select("key", "map")
+
+    def split(own: DataFrame, by: str) -> DataFrame:
+        """Members of signatures that hold more than one ``by`` and ask for partners."""
+        some = own.groupBy("sig").agg(F.min(by).alias("low"), F.max(by).alias("high"), F.max("asks").alias("any")).where("low <> high AND any")
+        return own.join(some.select("sig"), "sig", "left_semi")
+
+    # members without any pair that the bitmaps allow drop out before a text moves
+    first = written(split(members, "key").withColumn("label", F.col("key")).join(maps, "key"))
+    released(members)
+    alive = written(_dealt(first, True).mapInArrow(_near(percent, "any"), "a long, b long").select(F.col("a").alias("key")).distinct())
+    own = written(split(first.join(alive, "key", "left_semi"), "key"))
+    released(first, alive)
+    wanted = own.select("key").distinct().join(first_of.select("key", "node"), "key").select("key", F.col("node").alias("doc_id"))
     texts = named.join(wanted.hint("shuffle_hash"), "doc_id").select("key", "text").mapInArrow(_keyed(n), "key long, text string").dropDuplicates(["key"])
     texts = written(texts)
 
-    labels, tested = None, None
-    for turn in range(hubs + 1):
-        if labels is None:
-            own = members.withColumn("label", F.col("key"))
-        else:
-            own = members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-            split = own.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("asks").alias("any")).where("low <> high AND any")
-            own = written(own.join(split.select("sig"), "sig", "left_semi"))
-            members = own.select("sig", "key", "size", "weight", "asks")
-        if not own.limit(1).count():
-            break
-        if turn == hubs:
-            links = _apart(own, texts, n, percent)
-        else:
-            order = F.struct(F.col("weight"), F.xxhash64("key", F.lit(turn))) if turn % 2 == 0 else F.struct(F.xxhash64("key", F.lit(turn)), F.col("weight"))
-            hub = own.groupBy("sig").agg(F.max_by(F.struct("key", "label", "asks", "size"), order).alias("hub"))
-            near = f"100 * least(size, hub.size) >= {percent} * greatest(size, hub.size)"
-            met = own.join(hub, "sig").where(f"label <> hub.label AND (asks OR hub.asks) AND {near}").select("key", F.col("hub.key").alias("other"))
-            pairs = met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            seen = written(_wide(pairs, texts, n, percent))
-            tested = seen.select("a", "b") if tested is None else tested.union(seen.select("a", "b"))
-            links = seen.where("ok").select("a", "b")
+    labels, tested, pasts = None, None, []
+    modes = ["hub"] * hubs + ["least"]
+    while own.limit(1).count():
+        mode = modes.pop(0) if modes else "all"
+        some = own
+        if mode == "hub" and labels is not None:  # one member stands for its component
+            some = own.groupBy("sig", "label").agg(F.max_by(F.struct("key", "size", "weight", "asks", "map"), "weight").alias("m")).select("sig", "label", "m.*")
+        pairs = _dealt(some, mode != "hub").mapInArrow(_near(percent, mode), "a long, b long").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        seen = written(_wide(pairs, texts, n, percent))
+        pasts.append(seen)
+        tested = seen.select("a", "b") if tested is None else tested.union(seen.select("a", "b"))
+        links = seen.where("ok").select("a", "b")
         if links.limit(1).count():
             labels = _merged(labels, links)
+            if mode == "least":
+                modes = ["least"]
+            now = own.drop("label").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+            before, own = own, written(split(now, "label"))
+            released(before)
+        if mode == "all":
+            break
+    released(own, texts, *pasts)
 
     same = sets.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.collect_set("key").alias("keys")).where("a <> b")
     more = written(same.select("a", F.explode("keys").alias("b")).where("a <> b"))
@@ -403,7 +548,9 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90, hubs: int = 4) -> DataF
         at = first_of.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         least = at.groupBy("label").agg(F.min("node").alias("component_id"))
         top = at.join(least, "label").select("key", "component_id")
-    linked = sets.where("key IS NOT NULL AND doc_id IS NOT NULL").join(written(top), "key").select("doc_id", "n", "component_id")
+    top = written(top)
+    released(labels, more, first_of)
+    linked = sets.where("key IS NOT NULL AND doc_id IS NOT NULL").join(top, "key").select("doc_id", "n", "component_id")
     alone = sets.where("key IS NULL OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return linked.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
@@ -414,11 +561,13 @@ def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Rows with a null id stay, as do rows without words (one of each id).
     """
     groups = link(docs, n, percent)
-    stay = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    stay = written(stay)
-    kept = docs.join(stay.withColumnRenamed("doc_id", "__id").hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__id"), "inner")
-    once = kept.where("rows = 1").select(*docs.columns)
+    stay = written(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
+    free = free_names(docs.columns, "id", "rows", "place")
+    named = stay.select(F.col("doc_id").alias(free["id"]), F.col("rows").alias(free["rows"]))
+    kept = docs.join(named.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(free["id"]), "inner")
+    once = kept.where(F.col(free["rows"]) == 1).select(*docs.columns)
     if not stay.where("rows > 1").limit(1).count():
         return once.union(docs.where("doc_id IS NULL"))
-    again = kept.where("rows > 1").withColumn("__r", F.row_number().over(Window.partitionBy("__id").orderBy(F.length(F.coalesce("text", F.lit(""))).desc(), F.xxhash64("text")))).where("__r = 1").select(*docs.columns)
-    return once.union(again).union(docs.where("doc_id IS NULL"))
+    order = Window.partitionBy(free["id"]).orderBy(F.length(F.coalesce("text", F.lit(""))).desc(), F.xxhash64("text"))
+    again = kept.where(F.col(free["rows"]) > 1).withColumn(free["place"], F.row_number().over(order)).where(F.col(free["place"]) == 1)
+    return once.union(again.select(*docs.columns)).union(docs.where("doc_id IS NULL"))
