@@ -143,15 +143,15 @@ def _sums(batches):
             yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(total[k])], names=["y", "cell", "v"])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score double`` and ``predicted int`` added (replacing columns of these names).
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with a double score and an int prediction added, under ``names`` (replacing columns of these names).
 
     Scores depend on the text alone. Null and empty texts get the score of all-zero statistics. Repeated rows stay.
     """
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-    rest = docs.drop("score", "predicted")
-    schema = StructType([*rest.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    rest = docs.drop(*names)
+    schema = StructType([*rest.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
     at = rest.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two matrices of fixed size
 
@@ -164,3 +164,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=schema.names)
 
     return rest.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that the model takes for class 1, all their columns as they are."""
+    free = common.free_names(docs.columns, "score", "predicted")
+    return score(docs, model, (free["score"], free["predicted"])).where(F.col(free["predicted"]) == 1).select(*docs.columns)

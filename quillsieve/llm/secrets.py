@@ -52,7 +52,7 @@ MORE = (
     Rule("chat", "xox[abpr]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
     Rule("map_key", "AIza[A-Za-z0-9_-]{35}"),
-    Rule("url_login", r"://[A-Za-z0-9._-]{1,64}:[A-Za-z0-9._%+-]{6,64}@"),
+    Rule("url_login", r"://[A-Za-z0-9._-]*:[A-Za-z0-9._%+-]+@"),
 )
 RULES = BASE + MORE
 
@@ -160,24 +160,27 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     return F.when(text.rlike(rule.pattern), F.aggregate(with_size, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
 
 
-def scan(docs: DataFrame, rules: tuple = RULES, keep: list[str] | None = None) -> DataFrame:
-    """Rows of ``docs`` (``doc_id``, ``text`` and the columns of ``keep``) with ``found``: its spans by start, then kind.
+def scan(docs: DataFrame, rules: tuple = RULES, keep: list[str] | None = None, name: str = "found") -> DataFrame:
+    """Rows of ``docs`` (``doc_id``, ``text`` and the columns of ``keep``) with ``name``: its spans by start, then kind.
 
     Null texts count as empty and have no spans. Rows with a null id can have no postings, so every rule verifies
-    them. Repeated rows each get their own spans. Candidates meet texts by a shuffle on the id; nothing is broadcast
-    but the rules.
+    them, without a shuffle. Repeated rows each get their own spans. Candidates meet texts by a shuffle on the id;
+    nothing is broadcast but the rules. ``name`` must not be a column that is kept.
     """
     _, _, full = _plan(rules)
-    names = candidates(docs, rules).select(F.col("doc_id").alias("__id"), F.col("kinds").alias("__kinds"))
     columns = ["doc_id", "text", *(c for c in keep or [] if c not in ("doc_id", "text"))]
+    free = common.free_names([*columns, name], "id", "kinds", "text")
+    names = candidates(docs, rules).select(F.col("doc_id").alias(free["id"]), F.col("kinds").alias(free["kinds"]))
     base = docs.select(*columns)
-    joined = base.join(names.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__id"), "left")
-    text = F.col("__text")
-    verified = [
-        F.when(F.lit(True) if r.kind in full else F.array_contains("__kinds", r.kind) | F.col("doc_id").isNull(), spans_of(text, r, k)).otherwise(F.array().cast("array<struct<start:bigint,rank:int,kind:string,stop:bigint>>"))
-        for k, r in enumerate(rules)
-    ]
-    return joined.withColumn("__text", common.whole_text()).withColumn("found", F.array_sort(F.concat(*verified))).drop("__id", "__kinds", "__text")
+    named = base.where(F.col("doc_id").isNotNull()).join(names.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(free["id"]), "left")
+    text, none = F.col(free["text"]), F.array().cast("array<struct<start:bigint,rank:int,kind:string,stop:bigint>>")
+
+    def verified(rows: DataFrame, asked) -> DataFrame:
+        found = [F.when(F.lit(True) if r.kind in full else asked(r.kind), spans_of(text, r, k)).otherwise(none) for k, r in enumerate(rules)]
+        return rows.withColumn(free["text"], common.whole_text()).withColumn(name, F.array_sort(F.concat(*found))).select(*columns, name)
+
+    nameless = base.where(F.col("doc_id").isNull())
+    return verified(named, lambda kind: F.array_contains(free["kinds"], kind)).union(verified(nameless, lambda kind: F.lit(True)))
 
 
 def written_spans(found: Column) -> Column:
@@ -199,7 +202,8 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
     """``docs`` with every span of its texts replaced by ``[kind]``; overlapping spans give the first one's mark."""
-    marked = scan(docs, rules, [c for c in docs.columns])
+    name = common.free_names(docs.columns, "found")["found"]
+    marked = scan(docs, rules, docs.columns, name)
     text = common.whole_text()
     empty = F.struct(F.lit(1).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -207,8 +211,8 @@ def redact(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
         gap = F.when(s["start"] + 1 >= acc["at"], F.concat(F.substring(text, acc["at"].cast("int"), (s["start"] + 1 - acc["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["stop"] + 1).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
-    clean = F.aggregate("found", empty, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int"), F.lit(2**31 - 1))))
-    return marked.withColumn("text", F.when(F.size("found") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
+    clean = F.aggregate(name, empty, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int"), F.lit(2**31 - 1))))
+    return marked.withColumn("text", F.when(F.size(name) > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def _duck_rule(rule: Rule, order: int) -> str:
