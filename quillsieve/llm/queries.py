@@ -6,16 +6,22 @@ import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann_search, bpe_codec, jaccard_join, lm_scoring, mixing, quality, secrets, suffix_dedup, token_counts, topk_search
 from .common import table
 
-#: Where the public tokenizer files lie; a parameter of this installation.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+#: Folder of the public tokenizer files; None: where their package says.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR")
 
 
 def tokenizer_file(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    """Path of a public tokenizer file."""
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +47,9 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stays of every document without its repeated strings of 400 bytes."""
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+    """What stays of every document without its repeated strings of 400 bytes, and whether any were found in it."""
+    done = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), (F.col("n_removed") > 0).alias("repeats"))
 
 
 def op6_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import partitions_for, whole_text, written
+from .common import partitions_for, released, whole_text, written
 
 GRAM, BLOCK = 16, 32
 PLACE = np.uint64(32)  # hashes are compared by their upper bits; ties go to the first place
+MOST_HEAVY = 1000  # heavy anchors each have more than this part of all rows
+MOST_FRAGMENTS = 2000  # different fragments of an anchor that a suffix array takes at once; at most 1.6 MB of text
 END, GAP = 0, 1  # symbols: of the text's end and between fragments
 
 
@@ -372,7 +374,9 @@ def split_anchors(cut: DataFrame, length: int) -> DataFrame:
     windows = written(cut.select("anchor", "body", "piece").join(asked, ["anchor", "body"]).select("anchor", "body", "piece", "places").mapInArrow(_windows(length), "anchor long, body long, window binary, at int"))
     twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
     met = windows.join(twice, ["anchor", "window"]).groupBy("anchor", "body").agg(F.min("at").alias("low"), F.max("at").alias("high"))
-    return sure.union(met)
+    out = written(sure.union(met))
+    released(cores, kinds, windows, cut)
+    return out
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -410,24 +414,24 @@ def dedup(docs: DataFrame, length: int = 400, most_fragments: int | None = None)
     Null texts count as empty. Strings are judged on the input, in any row, the same one included, never across rows;
     repeated rows and exact copies are repeats of each other. Null ids stay. Equal texts are told by a 64-bit hash,
     equal fragments by a 128-bit one (anchor and body). ``most_fragments``: different fragments of an anchor beyond
-    which it is split (:func:`split_anchors`); by default 200, or a partition's share of all if that is more.
+    which it is split (:func:`split_anchors`), a fixed number, as a task holds an anchor's fragments.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     rows = written(narrow.mapInArrow(_fragments(length), _SCHEMA))
     texts_of = rows.where("n_bytes IS NOT NULL").select("doc_id", "text_key", "n_bytes", "sha")
-    met = rows.where("anchor IS NOT NULL").select("text_key", "anchor", "body", "first", "last", "at")
-    often = met.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    met = written(met.join(often, "anchor", "left_semi"))  # an anchor met once holds no repeat
-    bodies = met.groupBy("anchor", "body").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "first", "last", "at")).alias("one"))
-    bodies = written(bodies)
-    groups = bodies.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
-    shared = written(bodies.join(groups, "anchor").select("anchor", "body", "n", "one", "kinds", "least"))
-    whole = shared.where("n > 1").select("anchor", "body", F.lit(0).alias("low"), (F.col("one.last") - F.col("one.first")).alias("high"))
-
-    differing = shared.where("kinds > 1 AND least = 1")
+    every = rows.where("anchor IS NOT NULL").select("text_key", "anchor", "body", "first", "last", "at")
+    often = written(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    met = written(_with_groups(every, often, "n").drop("n"))  # an anchor met once holds no repeat
+    released(often)
+    bodies = written(met.groupBy("anchor", "body").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "first", "last", "at")).alias("one")))
+    groups = written(bodies.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")))
+    differing = written(_with_groups(bodies, groups.where("kinds > 1 AND least = 1"), "kinds"))
+    released(groups)
+    whole = bodies.where("n > 1").select("anchor", "body", F.lit(0).alias("low"), (F.col("one.last") - F.col("one.first")).alias("high"))
+
     n = 4 * partitions_for(spark)
-    most = most_fragments or max(200, differing.count() // partitions_for(spark))
+    most = most_fragments or MOST_FRAGMENTS
     hot = F.col("kinds") > most
     any_hot = bool(differing.where(hot).limit(1).count())
     asked = differing.select(F.col("one.text_key").alias("text_key"), F.struct("anchor", "body", F.col("one.first").alias("first"), F.col("one.last").alias("last"), F.col("one.at").alias("at"), hot.alias("hot")).alias("part"))
@@ -438,23 +442,41 @@ def dedup(docs: DataFrame, length: int = 400, most_fragments: int | None = None)
     wanted = wanted.join(lists, "text_key", "left").hint("shuffle_hash")
     found = narrow.withColumn("id", any_id).join(wanted, "id").select("text_key", "text", "parts").mapInArrow(_own, "text_key long, text string, parts array<struct<anchor:bigint,body:bigint,first:int,last:int,at:int,hot:boolean>>").dropDuplicates(["text_key"])
     found = written(found)
+    released(differing)
 
     piece = "anchor long, body long, at int, piece binary"
     cut = found.where("parts IS NOT NULL").select("text", "parts")
     calm = cut.mapInArrow(_cut(length, False), piece).repartition(n, "anchor").sortWithinPartitions("anchor", "body")
-    result = calm.mapInArrow(_sorted_blocks(length), "anchor long, body long, low int, high int")
-    if any_hot:
-        result = result.union(split_anchors(written(cut.mapInArrow(_cut(length, True), piece)), length))
-    repeats = written(whole.union(result).groupBy("anchor", "body").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    result = written(calm.mapInArrow(_sorted_blocks(length), "anchor long, body long, low int, high int"))
+    far = split_anchors(written(cut.mapInArrow(_cut(length, True), piece)), length) if any_hot else None
+    both = result if far is None else result.union(far)
+    repeats = written(whole.union(both).groupBy("anchor", "body").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    released(result, far, bodies)
 
     spans = met.join(repeats, ["anchor", "body"]).select("text_key", (F.col("first") + F.col("low")).alias("a"), (F.col("first") + F.col("high") + length).alias("b")).distinct()
     by_text = spans.groupBy("text_key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # as many as a text has
-    done = found.select("text_key", "text").join(by_text, "text_key").mapInArrow(_kept(), "text_key long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    done = written(done)
+    by_text = written(by_text)
+    released(met, repeats)
+    done = written(found.select("text_key", "text").join(by_text, "text_key").mapInArrow(_kept(), "text_key long, n_removed long, n_spans long, kept_sha256 string, kept_text string"))
+    released(found, by_text)
     zero = F.lit(0).cast("long")
     return texts_of.join(done, "text_key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept_text")
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame, size: str) -> DataFrame:
+    """Rows of the anchors in ``groups`` (``anchor`` and ``size``, its rows among all), with that size.
+
+    Anchors that have a good share of all rows are few by that share itself: they are broadcast, so that none of their
+    rows goes to one task. The others meet by a shuffle.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    heavy = groups.where(F.col(size) > F.lit(total / MOST_HEAVY)).select("anchor", size)  # under MOST_HEAVY rows
+    light = groups.where(F.col(size) <= F.lit(total / MOST_HEAVY)).select("anchor", size)
+    apart = rows.join(F.broadcast(heavy), "anchor")
+    rest = rows.join(F.broadcast(heavy.select("anchor")), "anchor", "left_anti").join(light, "anchor")
+    return apart.unionByName(rest)
+
+
 def _own(batches):
     """Rows whose text has the key that was asked for (ids may repeat)."""
     for batch in batches:
