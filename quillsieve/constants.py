@@ -63,7 +63,8 @@ FAILURE = "(?:^|[^0-9a-zA-Z])(?:FAIL(?:ED|URE)?|fail(?:ed|ure)?s?:|Error|error:|
 FILE_DUMP = f"(?i)^(?:cat|type|gc|Get-Content)[{WS}]+[^|;&<>]+$"
 ANSI = "\\x1b(?:\\[[0-9;?]*[ -/]*[@-~]|\\][^\\x07\\x1b]*(?:\\x07|\\x1b\\\\)|[@-Z\\\\-_])"
 CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"
-TRAILING = "[ \\t]+(?=[\\n\\r\\u2028\\u2029]|\\z)"
+TRAILING = "(?<![ \\t])[ \\t]++(?=[\\n\\r\\u2028\\u2029]|\\z)"  # a run is tried once, from its start
+REPAINTED = "(?<![^\\n])[^\\n]*\\r"  # from a line's start to its last CR
 TRAILER = "^Full result: [^\\n\\r\\u2028\\u2029]+$"
 FOREIGN = f"(?m)^\\[(?!trim{E})[a-z][A-Za-z0-9_-]* (?:hook|digest):"
 ENUM_NOUN = (

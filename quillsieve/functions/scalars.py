@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from .text import trim_ws
 
-ASTRAL = "[^\\x{0}-\\x{FFFF}]"
-
-
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units."""
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
@@ -57,32 +54,63 @@ def session_key(session: Column) -> Column:
     return F.substring(F.regexp_replace(session, "[^a-zA-Z0-9-]", "_"), 1, 120)
 
 
-def token_class(text: Column) -> Column:
-    """cjk, dense, code, prose or mixed, by shares of characters in the first 65,536."""
-    sample = F.substring(text, 1, C.SAMPLE_UNITS)
-    count = lambda p: F.regexp_count(sample, F.lit(p)).cast("double")
-    astral = count(ASTRAL)
-    n = F.length(sample) + astral
-    other = (count(f"[^A-Za-z0-9_{C.WS}]") + astral) / n
-    words = n / (count(f"[{C.WS}]+") + 1)
+def _class_of(facts: Column) -> Column:
+    """The class by shares of a sample's units; each share is a count from ``_sample_facts``."""
+    share = lambda name: facts[name] / facts["units"]
     return (
-        F.when(F.coalesce(sample, F.lit("")) == "", "mixed")
-        .when(count(C.CJK) / n > 0.15, "cjk")
-        .when((other > 0.28) | (count("[0-9]") / n > 0.22) | (words > 18), "dense")
-        .when(other > 0.14, "code")
-        .when((count(" ") / n > 0.14) & (other < 0.09), "prose")
+        F.when(facts["units"] == 0, "mixed")
+        .when(share("cjk") > 0.15, "cjk")
+        .when((share("other") > 0.28) | (share("digits") > 0.22) | (facts["units"] / (facts["gaps"] + 1) > 18), "dense")
+        .when(share("other") > 0.14, "code")
+        .when((share("blanks") > 0.14) & (share("other") < 0.09), "prose")
         .otherwise("mixed")
     )
 
 
+def _sample_facts(sample: Column) -> Column:
+    """Counts over a sample. A class of characters is counted by what its removal takes away: one pass, run by run."""
+    left = lambda pattern: F.length(F.regexp_replace(sample, pattern, ""))
+    size, units = F.length(sample), utf16_length(sample)
+    plain = F.octet_length(sample) == size  # ASCII has none of the CJK ranges
+    return F.struct(
+        units.cast("double").alias("units"),
+        (left(f"[A-Za-z0-9_{C.WS}]+") + units - size).cast("double").alias("other"),  # a character of two units counts twice
+        (size - left("[0-9]+")).cast("double").alias("digits"),
+        (size - F.length(F.replace(sample, F.lit(" "), F.lit("")))).cast("double").alias("blanks"),
+        F.regexp_count(sample, F.lit(f"[{C.WS}]+")).cast("double").alias("gaps"),
+        F.when(plain, 0).otherwise(size - left(C.CJK + "+")).cast("double").alias("cjk"),
+    )
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.transform(F.array(value), use)[0]
+
+
+def token_facts(text: Column) -> Column:
+    """Struct of ``cls`` (cjk, dense, code, prose or mixed, by shares in the first 65,536 characters) and ``tokens``:
+    code points of cjk text, else UTF-16 units by the class's divisor, rounded up."""
+    whole = F.coalesce(text, F.lit(""))
+    named = _once(_sample_facts(F.substring(whole, 1, C.SAMPLE_UNITS)), _class_of)
+
+    def estimate(kind):
+        divisor = F.lit(C.DIVISORS["mixed"])
+        for name in ("dense", "code", "prose"):
+            divisor = F.when(kind == name, F.lit(C.DIVISORS[name])).otherwise(divisor)
+        tokens = F.when(whole == "", F.lit(0).cast("long")).when(kind == "cjk", F.length(whole).cast("long")).otherwise(F.ceil(utf16_length(whole).cast("double") / divisor))
+        return F.struct(kind.alias("cls"), tokens.alias("tokens"))
+
+    return _once(named, estimate)
+
+
+def token_class(text: Column) -> Column:
+    """The class alone of :func:`token_facts`."""
+    return token_facts(text)["cls"]
+
+
 def token_estimate(text: Column) -> Column:
-    """Estimated tokens: code points of cjk text, else UTF-16 units by the class's divisor, rounded up."""
-    kind = token_class(text)
-    units = utf16_length(text).cast("double")
-    divisor = F.lit(C.DIVISORS["mixed"])
-    for name in ("dense", "code", "prose"):
-        divisor = F.when(kind == name, F.lit(C.DIVISORS[name])).otherwise(divisor)
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0).cast("long")).when(kind == "cjk", F.length(text).cast("long")).otherwise(F.ceil(units / divisor))
+    """The estimate alone of :func:`token_facts`."""
+    return token_facts(text)["tokens"]
 
 
 def net_win(in_bytes: Column, out_bytes: Column, in_tokens: Column, out_tokens: Column) -> Column:
@@ -138,6 +166,29 @@ def exit_code(response: Column) -> Column:
 
 
 def canonical_json(text: Column) -> Column:
-    """A flat JSON object of strings with its keys in order."""
-    entries = F.array_sort(F.map_entries(F.from_json(text, "map<string,string>")))
-    return F.to_json(F.map_from_entries(entries))
+    """JSON with the keys of every object in order, arrays as they are and no blanks; null where it is none.
+
+    Nested values are walked by an expression as deep as ``CANONICAL_DEPTH``; deeper ones keep their own order of keys.
+    """
+    return _canonical(F.try_parse_json(text), CANONICAL_DEPTH)
+
+
+CANONICAL_DEPTH = 5
+
+
+def _canonical(value: Column, depth: int) -> Column:
+    plain = F.to_json(value)
+    if not depth:
+        return plain
+    kind = F.schema_of_variant(value)
+    below = lambda v: _canonical(v, depth - 1)
+    fields = F.try_variant_get(value, "$", "map<string,variant>")
+    named = F.transform(F.array_sort(F.map_keys(fields)), lambda k: F.concat(_quoted(k), F.lit(":"), F.coalesce(below(fields[k]), F.lit("null"))))
+    items = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v: F.coalesce(below(v), F.lit("null")))
+    joined = lambda parts, ends: F.concat(F.lit(ends[0]), F.array_join(parts, ","), F.lit(ends[1]))
+    return F.when(kind.startswith("OBJECT"), joined(named, "{}")).when(kind.startswith("ARRAY"), joined(items, "[]")).otherwise(plain)
+
+
+def _quoted(key: Column) -> Column:
+    """A string as JSON."""
+    return F.regexp_extract(F.to_json(F.struct(key.alias("k"))), '(?s)^\\{"k":(.*)\\}\\z', 1)

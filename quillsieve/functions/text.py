@@ -15,7 +15,7 @@ def strip_ansi(text: Column) -> Column:
 
 def resolve_cr(text: Column) -> Column:
     """CRLF as LF; of each line what follows its last CR."""
-    return F.when(text.contains("\r"), F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), "[^\\n]*\\r", "")).otherwise(text)
+    return F.when(text.contains("\r"), F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), C.REPAINTED, "")).otherwise(text)
 
 
 def tidy_whitespace(text: Column) -> Column:
@@ -42,7 +42,7 @@ def line_count(text: Column) -> Column:
 
 
 def trim_ws(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{C.WS}]+|[{C.WS}]+\\z", "")
+    return F.regexp_replace(text, f"^[{C.WS}]++|(?<![{C.WS}])[{C.WS}]++\\z", "")
 
 
 def last_non_blank(text: Column) -> Column:

@@ -12,6 +12,7 @@ from ..functions import scalars as S
 from ..functions import text as X
 from ..operators import condense as K
 from ..operators import formats, lines, report, sessions
+from ..sources import spread
 from . import corpora as D
 from .corpora import DUCK, load, load_texts
 
@@ -63,7 +64,7 @@ def _digest(out: str) -> str:
 
 
 def _digests(spark, sf_dir, step) -> DataFrame:
-    docs = load(spark, sf_dir, DIRTY).withColumn("text", step(F.col("text")))
+    docs = spread(load(spark, sf_dir, DIRTY)).withColumn("text", step(F.col("text")))
     return docs.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"))
 
 
@@ -206,8 +207,8 @@ CLASSED = f"""SELECT doc_id, text, CASE WHEN {_share('[^a-zA-Z0-9_ \\t-\\r]')} /
 
 @query(f"SELECT doc_id, cls, CAST(ceil(length(text) / CASE cls WHEN 'dense' THEN 2.0 WHEN 'code' THEN 2.6 WHEN 'prose' THEN 3.8 ELSE 3.2 END) AS BIGINT) AS tokens FROM ({CLASSED}) x")
 def token_estimate(spark, sf_dir):
-    t = F.col("text")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", S.token_class(t).alias("cls"), S.token_estimate(t).alias("tokens"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return docs.select("doc_id", S.token_facts(F.col("text")).alias("f")).select("doc_id", F.col("f.cls").alias("cls"), F.col("f.tokens").alias("tokens"))
 
 
 @query("SELECT o_orderkey, o_totalprice * 0.5 >= 32 AND (o_totalprice - o_custkey) >= 24 AS win FROM orders")

@@ -25,6 +25,19 @@ METRICS = (
 )
 
 
+#: Bytes a core below which dealing rows anew costs less than cores that wait for one file's only row group.
+SPREAD_BYTES = 64 * 1024 * 1024
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores before work that is bound by CPU, if the input is small for the cluster; larger inputs
+    have row groups enough and stay where they are."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < SPREAD_BYTES * cores else rows
+
+
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """``path, text``: a row a file."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
