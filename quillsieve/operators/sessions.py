@@ -77,10 +77,10 @@ def recovery(calls: DataFrame, window: int = C.RECOVERY_WINDOW) -> DataFrame:
     )
 
 
-def observed_bytes(calls: DataFrame) -> DataFrame:
+def observed_bytes(calls: DataFrame, size: str = "bytes") -> DataFrame:
     """``observed`` bytes and ``turn`` of a session's island so far."""
     own = Window.partitionBy("session", "island").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return calls.withColumns({"observed": F.sum("bytes").over(own), "turn": F.count("*").over(own)})
+    return calls.withColumns({"observed": F.sum(size).over(own), "turn": F.count("*").over(own)})
 
 
 def prompt_as_of(events: DataFrame, is_prompt: Column, text: str = "text") -> DataFrame:
@@ -131,14 +131,25 @@ def next_band(before: str, size: int | None) -> str:
     return "low" if size < mid else "mid" if size < high else "high"
 
 
+#: A row's ``reset``, where there is such a column: a compaction clears the band and the narration; a switch (of session
+#: or branch) the handled calls too.
+COMPACTION, SWITCH = "compaction", "switch"
+
+
 def step_band(state: str | None, row: dict):
+    if row.get("reset") in (COMPACTION, SWITCH):
+        return "low", ("low",)
     band = next_band(state, row["bytes"])
     return band, (band,)
 
 
 def step_handled(state: OrderedDict, row: dict):
     """The last 200 calls' hashes, oldest out first; a call seen again moves to the end."""
+    if row.get("reset"):
+        return (OrderedDict() if row["reset"] == SWITCH else state), (False,)
     key, own = row["call_id"], row["hash"]
+    if own is None:  # a call that left no content
+        return state, (False,)
     if state.get(key) == own:
         return state, (True,)
     state.pop(key, None)
@@ -150,6 +161,8 @@ def step_handled(state: OrderedDict, row: dict):
 
 def step_narration(state: dict, row: dict, budget: int = C.NARRATION_BUDGET):
     """Words of a turn; the meter fires over the budget, then after each further quarter of it."""
+    if row.get("reset") in (COMPACTION, SWITCH):
+        return {}, (None, False)
     if row["profile"] not in ("eval", "autonomous-loop") or not row["words"] or row["blocker"]:
         return state, (None, False)
     if state.get("turn") != row["turn_key"]:

@@ -134,6 +134,18 @@ def calls(d: Dialect) -> str:
     )
 
 
+def host_calls(d: Dialect) -> str:
+    """Calls with their results: shells, reads of every kind, other servers' tools, bypasses, now and then a reset."""
+    text = "concat(repeat(concat('waiting for lock', chr(10)), CAST(k AS INT)), 'done')"
+    return (
+        f"SELECT CAST(user_id AS {'STRING' if d.spark else 'VARCHAR'}) AS session, CAST(event_id AS BIGINT) AS seq, concat('call', k % 3) AS call_id, "
+        "CASE k % 10 WHEN 7 THEN 'read' WHEN 8 THEN 'read' WHEN 9 THEN 'mcp__a' ELSE 'bash' END AS tool, CASE k % 10 WHEN 6 THEN 'TRIM_OFF=1 make' WHEN 7 THEN NULL WHEN 8 THEN NULL ELSE 'make' END AS command, "
+        "CASE k % 10 WHEN 7 THEN CASE event_id % 3 WHEN 0 THEN '/var/log/a.log' WHEN 1 THEN '/src/a.py' ELSE '/tmp/trim-sidecar/a.txt' END WHEN 8 THEN '/tmp/trim-sidecar/b.txt' END AS path, "
+        "CASE WHEN k % 10 = 8 THEN CAST(1 AS BIGINT) END AS \"offset\", CAST(event_id * 1000 AS BIGINT) AS at, CAST(k * 9000 AS BIGINT) AS context_bytes, "
+        f"CASE event_id % 50 WHEN 7 THEN 'compaction' WHEN 8 THEN 'switch' END AS reset, k, {text} AS text FROM {events(d)}"
+    ).replace('"', "`" if d.spark else '"')
+
+
 def records(d: Dialect) -> str:
     """Metrics records of the calls, old and new vintages."""
     return (

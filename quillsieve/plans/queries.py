@@ -11,7 +11,7 @@ from .. import constants as C
 from ..functions import scalars as S
 from ..functions import text as X
 from ..operators import condense as K
-from ..operators import formats, lines, report, sessions
+from ..operators import formats, lines, report, runtimes, sessions
 from ..sources import spread
 from . import corpora as D
 from .corpora import DUCK, load, load_texts
@@ -605,6 +605,68 @@ def note_once(spark, sf_dir):
     return sessions.note_once(_calls(spark, sf_dir), F.col("lossy")).select("session", "seq", "note")
 
 
+# --- runtimes -----------------------------------------------------------------------------------------------------------
+HOSTS = D.host_calls
+
+
+def _classed(t: str) -> str:
+    """A text's estimate by its class, as SQL."""
+    other, digits, gaps = (f"CAST(len(regexp_extract_all({t}, '{p}')) AS DOUBLE)" for p in ("[^a-zA-Z0-9_ \\t-\\r]", "[0-9]", "[ \\t-\\r]+"))
+    blanks = f"(length({t}) - length(replace({t}, ' ', '')))"
+    return (
+        f"CAST(ceil(length({t}) / CASE WHEN {other} / length({t}) > 0.28 OR {digits} / length({t}) > 0.22 OR length({t}) / ({gaps} + 1) > 18 THEN 2.0 "
+        f"WHEN {other} / length({t}) > 0.14 THEN 2.6 WHEN {blanks} / length({t}) > 0.14 AND {other} / length({t}) < 0.09 THEN 3.8 ELSE 3.2 END) AS BIGINT)"
+    )
+
+
+def _host_sql(name: str, reads: bool, repeats: bool) -> str:
+    """Routes and totals of one runtime, from the texts themselves."""
+    bypass = "contains(coalesce(command, ''), 'TRIM_OFF=1')"
+    admitted = f"(regexp_matches(path, '{C.duck(C.LOG_PATH)}') OR starts_with(path, '/tmp/trim-sidecar/'))"
+    way = f"CASE WHEN reset IS NOT NULL THEN 'reset' WHEN {bypass} THEN 'bypass' "
+    way += "WHEN repeated THEN 'repeated' " if repeats else ""
+    way += f"WHEN tool = 'read' AND NOT {admitted} THEN 'skip' " if reads else "WHEN tool = 'read' THEN 'skip' "
+    way += "WHEN tool = 'read' AND \"offset\" IS NOT NULL AND starts_with(path, '/tmp/trim-sidecar/') AND len(string_split(text, chr(10))) <= 400 AND length(text) <= 65536 THEN 'verbatim' WHEN tool = 'mcp__a' THEN 'observe' ELSE 'condense' END"
+    short = "CASE WHEN k >= 3 THEN 'waiting for lock  [trim hook: line repeated ' || k || 'x]' || chr(10) || 'done' ELSE text END"
+    return f"""SELECT '{name}' AS runtime, session, seq, route, applied, CASE WHEN work THEN length(text) END AS in_bytes, CASE WHEN work THEN length(CASE WHEN applied THEN short ELSE text END) END AS out_bytes FROM (
+  SELECT *, route IN ('condense', 'observe') AS work, route = 'condense' AND length(text) - length(short) >= 32 AND {_classed('text')} - {_classed('short')} >= 24 AS applied FROM (
+    SELECT *, {way} AS route, {short} AS short FROM (SELECT *, coalesce(reset IS NULL AND NOT {bypass} AND lag(text) OVER (PARTITION BY session, island, call_id, reset IS NULL AND NOT {bypass} ORDER BY seq) = text, false) AS repeated FROM i) a) b) d"""
+
+
+HOST_ISLAND = "SELECT *, sum(CASE WHEN reset = 'switch' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq) AS island FROM c"
+
+
+def _host_calls(spark, sf_dir) -> DataFrame:
+    block = F.array(F.struct(F.lit("image").alias("type"), F.lit("raw").alias("text")), F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
+    return load(spark, sf_dir, HOSTS).withColumn("blocks", F.when(F.col("reset").isNull(), block))
+
+
+@query(_sql(HOSTS, " UNION ALL ".join(_host_sql(r.name, r.reads, r.repeats) for r in runtimes.RUNTIMES.values()), i=HOST_ISLAND))
+def runtime_routes(spark, sf_dir):
+    """Every runtime over the same calls: routes, gates, and bytes in and out; other servers' tools are only observed."""
+    calls, out = _host_calls(spark, sf_dir), None
+    for r in runtimes.RUNTIMES.values():
+        one = runtimes.handle(calls, r, runtimes.Observed("observe")).select(F.lit(r.name).alias("runtime"), "session", "seq", "route", "applied", "in_bytes", "out_bytes")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(_sql(HOSTS, "SELECT session, seq, coalesce(reset IS NULL AND text = was, false) AS repeated FROM (SELECT *, lag(text) OVER (PARTITION BY session, island, call_id, reset IS NULL ORDER BY seq) AS was FROM i) a", i=HOST_ISLAND))
+def repeat_resets(spark, sf_dir):
+    """Calls seen again since the last switch; a compaction keeps them."""
+    return sessions.repeated_calls(load(spark, sf_dir, HOSTS).withColumn("hash", F.md5("text"))).select("session", "seq", "repeated")
+
+
+@query(
+    f"WITH RECURSIVE c AS ({D.host_calls(DUCK)}), n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS pos FROM c), "
+    f"b(session, seq, pos, band) AS (SELECT session, seq, pos, CASE WHEN reset IS NOT NULL THEN 'low' ELSE {BAND.format(b=chr(39) + chr(39), x='context_bytes')} END FROM n WHERE pos = 1 UNION ALL "
+    f"SELECT n.session, n.seq, n.pos, CASE WHEN n.reset IS NOT NULL THEN 'low' ELSE {BAND.format(b='b.band', x='n.context_bytes')} END FROM b JOIN n ON n.session = b.session AND n.pos = b.pos + 1) SELECT session, seq, band FROM b"
+)
+def pressure_resets(spark, sf_dir):
+    """Pressure bands that compactions and switches set low."""
+    return sessions.pressure_hysteresis(load(spark, sf_dir, HOSTS).withColumn("bytes", F.col("context_bytes"))).select("session", "seq", "band")
+
+
 # --- report -------------------------------------------------------------------------------------------------------------
 R = D.records
 LIVE = "NOT coalesce(bypass, false)"
