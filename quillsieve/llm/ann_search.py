@@ -3,7 +3,10 @@
 On a bounded sample: a neighbour graph, its balanced partitioning (recursive bisection by a smooth graph vector,
 then swaps that lower the cut), and a small softmax classifier that learns the parts from the vectors. Every row is
 indexed under its most probable part; a query is routed to its several most probable parts, whose rows are reranked
-by the exact measure. The sample also says how many parts reach the wanted recall.
+by the exact measure. Rows of the sample that the fit never saw say how many parts reach the wanted recall.
+
+Tables of any size are partitioned. One router has at most 256 parts; where these hold too many rows each, every part
+gets a router of its own, fitted on a bounded sample of its rows, and a query is routed again within each part.
 """
 
 from __future__ import annotations
@@ -90,9 +93,14 @@ def _bisect(nodes, a, b, n, rng) -> np.ndarray:
     return side
 
 
-def learn(x: np.ndarray, parts: int, target: float, k: int, steps: int = 300) -> Router:
-    """Fit on the sample ``x``: graph, parts, classifier, and the probes that reach the wanted recall on the sample."""
-    d = x.shape[1]
+def learn(sample: np.ndarray, parts: int, target: float, k: int, steps: int = 300, held: float = 0.2) -> Router:
+    """Fit on the sample: graph, parts and classifier on some of its rows, probes that reach the wanted recall on the others.
+
+    The held-out rows ask; their neighbours are sought among all rows of the sample.
+    """
+    d = sample.shape[1]
+    asking = max(1, min(1000, int(len(sample) * held)))
+    x = sample[asking:]
     unit = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-30)
     if parts < 2 or len(x) < 4 * parts:
         return Router(np.zeros((d, 1)), np.zeros(1), 1)
@@ -110,10 +118,10 @@ def learn(x: np.ndarray, parts: int, target: float, k: int, steps: int = 300) ->
             second += 0.01 * (slope * slope - second)
             value -= 0.2 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     router = Router(w, bias, parts)
-    z = router.scores(x)
+    z = router.scores(sample)
     home = z.argmax(1)
-    asked = np.arange(0, len(x), max(1, len(x) // 1000))
-    best = neighbour_graph_of(x, asked, min(k, len(x) - 1))
+    asked = np.arange(asking)
+    best = neighbour_graph_of(sample, asked, min(k, len(sample) - 1))
     order = np.argsort(-z[asked], axis=1)
     rank = np.argsort(order, axis=1)  # when a part is probed
     need = rank[np.arange(len(asked))[:, None], home[best]]
@@ -127,10 +135,11 @@ def neighbour_graph_of(x: np.ndarray, asked: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-s, k - 1, axis=1)[:, :k]
 
 
-def search(rows: DataFrame, k: int = 20, divisor: int = 20, sample: int = 8192, target_recall: float = 0.95, part_rows: int = 2048, most_parts: int = 256, query_block: int = 2048) -> DataFrame:
+def search(rows: DataFrame, k: int = 20, divisor: int = 20, sample: int = 8192, target_recall: float = 0.95, part_rows: int = 2048, least_parts: int = 16, most_parts: int = 256, query_block: int = 2048) -> DataFrame:
     """``query_id long, rank int, vec_id long, score double`` of every row whose id ``divisor`` divides.
 
-    ``sample`` bounds the rows that the index is fitted on; every row is indexed. Vectors null, empty, all zero or
+    ``sample`` bounds the rows that a router is fitted on; every row is indexed. A table has at least ``least_parts``
+    parts, unless they would hold under four rows each. Vectors null, empty, all zero or
     with null or non-finite components take no part, nor do null ids. Rows repeated under an id count once (the
     smallest vector). Scores are inner products in double precision of the original vectors; ties go to the smaller id.
     """
@@ -143,18 +152,23 @@ def search(rows: DataFrame, k: int = 20, divisor: int = 20, sample: int = 8192,
     asked = written(asked)
     n_rows = groups.count()
     parts = 1
-    while parts * part_rows < n_rows and parts < most_parts:
+    while (parts * part_rows < n_rows or parts < least_parts) and parts < most_parts and 8 * parts <= min(n_rows, sample):
         parts *= 2
     drawn = groups.select("cid", "v").orderBy(F.xxhash64("cid", F.lit(3)), "cid").limit(sample).select("v").toArrow()
-    x = vectors.matrix(drawn.column("v"))
-    router = learn(x, parts, target_recall, k)
-    shared = spark.sparkContext.broadcast(router)  # as large as dimensions times parts
-
-    routed = written(groups.select("cid", "v").mapInArrow(_route(shared, 1), "cid long, v array<double>, part int, turn int"))
-    asking = written(queries.mapInArrow(_route(shared, router.probes), "cid long, v array<double>, part int, turn int"))
+    router = learn(vectors.matrix(drawn.column("v")), parts, target_recall, k)
+    shared = spark.sparkContext.broadcast({None: router})  # as large as dimensions times parts
+
+    kind = "cid long, v array<double>, part int, turn int"
+    routed = written(groups.select("cid", "v").mapInArrow(_route(shared, False), kind))
+    asking = written(queries.mapInArrow(_route(shared, True), kind))
+    if parts * part_rows < n_rows:
+        below = _routers(routed, parts, n_rows, part_rows, most_parts, sample, target_recall, k)
+        again = spark.sparkContext.broadcast(below)  # at most most_parts routers
+        routed = written(routed.mapInArrow(_route_again(again, most_parts, False), kind))
+        asking = written(asking.mapInArrow(_route_again(again, most_parts, True), kind))
     sizes = {r.part: r.n for r in routed.groupBy("part").agg(F.count("*").alias("n")).collect()}
     counts = {r.part: r.n for r in asking.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    shape = [(p, vectors.blocks_for(n, 2 * part_rows), vectors.blocks_for(counts.get(p, 0), query_block)) for p, n in sizes.items()]
+    shape = [(p, vectors.blocks_for(n, 2 * part_rows), vectors.blocks_for(counts.get(p, 0), query_block)) for p, n in sizes.items()]  # a row a part
 
     def grid() -> DataFrame:  # one row a part
         return F.broadcast(spark.createDataFrame(shape or [(0, 1, 1)], "part int, across int, down int"))
@@ -175,20 +189,61 @@ def search(rows: DataFrame, k: int = 20, divisor: int = 20, sample: int = 8192,
     return vectors.ranked(found, groups, asked, k, "double")
 
 
-def _route(shared, probes: int):
+def _batch(batch: pa.RecordBatch, at: np.ndarray, part: np.ndarray, turn: np.ndarray) -> pa.RecordBatch:
+    taken = batch.take(pa.array(at))
+    return pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(part.astype(np.int32)), pa.array(turn.astype(np.int32))], names=["cid", "v", "part", "turn"])
+
+
+def _route(shared, ask: bool):
     def run(batches):
-        router = shared.value
+        router = shared.value[None]
         for batch in batches:
             if batch.num_rows:
                 z = router.scores(vectors.matrix(batch.column(1)))
-                best = np.argsort(-z, axis=1, kind="stable")[:, :probes]
-                at = np.repeat(np.arange(len(z)), best.shape[1])
-                taken = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(best.ravel().astype(np.int32)), pa.array(np.tile(np.arange(best.shape[1], dtype=np.int32), len(z)))], names=["cid", "v", "part", "turn"])
+                best = np.argsort(-z, axis=1, kind="stable")[:, : router.probes if ask else 1]
+                yield _batch(batch, np.repeat(np.arange(len(z)), best.shape[1]), best.ravel(), np.tile(np.arange(best.shape[1]), len(z)))
 
     return run
 
 
+def _route_again(shared, most_parts: int, ask: bool):
+    """Within each part that has a router of its own: part ``p`` becomes ``p * most_parts`` and up."""
+
+    def run(batches):
+        for batch in batches:
+            part, turn = np.asarray(batch.column(2)), np.asarray(batch.column(3))
+            for p in np.unique(part).tolist():
+                at = np.flatnonzero(part == p)
+                router = shared.value.get(p)
+                if router is None:
+                    yield _batch(batch, at, part[at] * most_parts, turn[at])
+                    continue
+                z = router.scores(vectors.matrix(batch.take(pa.array(at)).column(1)))
+                best = np.argsort(-z, axis=1, kind="stable")[:, : router.probes if ask else 1]
+                rank = turn[at][:, None] * most_parts + np.arange(best.shape[1])
+                yield _batch(batch, np.repeat(at, best.shape[1]), part[at[0]] * most_parts + best.ravel(), rank.ravel())
+
+    return run
+
+
+def _routers(routed: DataFrame, parts: int, n_rows: int, part_rows: int, most_parts: int, sample: int, target: float, k: int) -> dict:
+    """A router for each part of more than ``part_rows`` rows, fitted in a task of its own on a bounded draw of its rows."""
+    sizes = {r.part: r.n for r in routed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a part
+    first = Window.partitionBy("part").orderBy(F.xxhash64("cid", F.lit(5)), "cid")
+    drawn = routed.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample).select("part", "v")  # the limit also runs before the shuffle
+
+    def fit(table: pa.Table) -> pa.Table:
+        p = table.column("part")[0].as_py()
+        own = 1
+        while own * part_rows < sizes[p] and own < most_parts and 8 * own <= len(table):
+            own *= 2
+        router = learn(vectors.matrix(table.column("v")), own, target, k)
+        return pa.table({"part": pa.array([p], pa.int32()), "width": pa.array([router.weights.shape[0]], pa.int32()), "weights": [router.weights.ravel().tolist()], "bias": [router.bias.tolist()], "probes": pa.array([router.probes], pa.int32())})
+
+    made = drawn.groupBy("part").applyInArrow(fit, "part int, width int, weights array<double>, bias array<double>, probes int").collect()  # at most most_parts routers
+    return {r.part: Router(np.array(r.weights).reshape(r.width, -1), np.array(r.bias), r.probes) for r in made if len(r.bias) > 1}
+
+
 def _rerank(most: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [[], [], []]

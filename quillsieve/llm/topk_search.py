@@ -1,14 +1,19 @@
 """Exact top-k search by a three-phase uniform threshold.
 
 The components of a vector are dealt to ``lists`` score lists; a score is the sum of its entries in all of them.
-Phase 1 gathers each block's best local entries of each list, resolves these and takes the (k+1)-th best total as a
-cutoff that the answer cannot fall below. Phase 2 sends the cutoff with the queries: a total of at least the cutoff
-has an entry of at least cutoff / lists in some list, so each block collects only those. Phase 3 resolves the rest of
-their scores exactly and keeps what reaches the cutoff.
+Phase 1 gathers the best local entries of each list in one block of rows, a small part of all, resolves these and
+takes the (k+1)-th best total as a cutoff that the answer cannot fall below. Phase 2 sends the cutoff with the queries:
+a total of at least the cutoff has an entry of at least cutoff / lists in some list, so each list collects only those.
+Phase 3 resolves the scores that such a candidate lacks in the other lists, and keeps what reaches the cutoff.
+
+A list scores its own components only. It is ordered by the length of its rows' parts, and a part of length l scores at
+most l times that of the query: the list ends where that falls below cutoff / lists.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,12 +29,13 @@ def quantised(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.floor(F.lit(64.0) * x.cast("double")).cast("long"))
 
 
-def search(rows: DataFrame, k: int = 20, divisor: int = 20, lists: int = 2, block: int = 4096, query_block: int = 2048) -> DataFrame:
+def search(rows: DataFrame, k: int = 20, divisor: int = 20, lists: int = 2, block: int = 4096, query_block: int = 2048, first_part: int = 16) -> DataFrame:
     """``query_id long, rank int, vec_id long, score long`` of every row whose id ``divisor`` divides.
 
     Vectors null or with null or non-finite components take no part, nor do null ids; an empty vector is all zeros, a
     shorter one is continued by zeros. Rows repeated under an id count once (the smallest vector). Ties go to the
-    smaller id. Scores are exact as long as they fit 64 bits. Every query class meets every class, in blocks.
+    smaller id. Scores are exact as long as they fit 64 bits. Every query class meets every class, in blocks; phase 1
+    reads one of at least ``first_part`` blocks, if such a block holds k + 1 rows well enough.
     """
     spark = rows.sparkSession
     own = vectors.usable(rows, quantised(F.col("embedding")), vectors.finite(F.col("embedding")))
@@ -40,17 +46,20 @@ def search(rows: DataFrame, k: int = 20, divisor: int = 20, lists: int = 2, bloc
     n_rows, n_queries = groups.count(), queries.count()
     across, down = vectors.blocks_for(n_rows, block), vectors.blocks_for(n_queries, query_block)
 
-    def paired(q: DataFrame):
-        left = q.withColumn("d", vectors.block_of(F.col("cid"), down)).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-        right = groups.select("cid", "v", vectors.block_of(F.col("cid"), across).alias("a")).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-        n = min(across * down, 4 * partitions_for(spark))
+    def paired(q: DataFrame, blocks: int, only_own: bool):
+        mine = vectors.block_of(F.col("cid"), blocks)
+        with_ = mine if only_own else F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        left = q.withColumn("d", vectors.block_of(F.col("cid"), down)).withColumn("a", with_)
+        right = groups.select("cid", "v", mine.alias("a")).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+        n = min(blocks * down, 4 * partitions_for(spark))
         return left.repartition(n, "a", "d").groupBy("a", "d").cogroup(right.repartition(n, "a", "d").groupBy("a", "d"))
 
-    first = paired(queries).applyInArrow(_gather(k + 1, lists), "qid long, score long")
+    few = max(1, min(max(across, first_part), n_rows // (2 * (k + 1))))  # each block is sure to hold rows enough, or gives no cutoff
+    first = paired(queries, few, True).applyInArrow(_gather(k + 1, lists), "qid long, score long")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))
     cutoffs = first.withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("qid").agg(F.min("score").alias("low"), F.count("*").alias("n"))
     bounded = queries.join(cutoffs, queries.cid == cutoffs.qid, "left").select("cid", "v", F.when(F.col("n") > k, F.col("low")).alias("cutoff"))
-    found = paired(bounded).applyInArrow(_collect(k + 1, lists), "qid long, cid long, score long")
+    found = paired(bounded, across, False).applyInArrow(_collect(k + 1, lists), "qid long, cid long, score long")
     return vectors.ranked(found, groups, asked, k, "long")
 
 
@@ -92,6 +101,58 @@ def _gather(most: int, lists: int):
     return run
 
 
+@dataclass
+class Resolved:
+    """Scores that the phases looked at: list entries scored, entries collected, entries that phase 3 resolved."""
+
+    scored: int = 0
+    collected: int = 0
+    resolved: int = 0
+
+
+def candidates(q: np.ndarray, x: np.ndarray, parts: list, cutoffs: list, seen: Resolved | None = None):
+    """For each query: rows whose total reaches its cutoff, and these totals. A cutoff of None: all rows.
+
+    ``parts`` are the lists' ranges of components.
+    """
+    n, m = len(x), len(parts)
+    lists = []
+    for a, b in parts:
+        length = np.sqrt((x[:, a:b].astype(float) ** 2).sum(1))
+        order = np.argsort(-length, kind="stable")
+        lists.append((order, length[order], x[order, a:b], np.sqrt((q[:, a:b].astype(float) ** 2).sum(1))))
+    for start in range(0, len(q), 256):
+        block = q[start : start + 256]
+        limits = cutoffs[start : start + 256]
+        share = np.array([-np.inf if c is None else c / m for c in limits])
+        found = [[] for _ in block]
+        for k, (order, length, rows, own) in enumerate(lists):
+            # the longest prefix that any query of the block needs
+            need = [n if s <= 0 else int(np.searchsorted(-length, -(s / (o or 1e-300)) * (1 - 1e-9), side="right")) for s, o in zip(share, own[start : start + 256])]
+            end = max(need, default=0)
+            a, b = parts[k]
+            local = block[:, a:b] @ rows[:end].T
+            for j in range(len(block)):
+                at = np.flatnonzero(local[j, : need[j]] * m >= (limits[j] if limits[j] is not None else -np.inf))
+                found[j].append((order[at], local[j, at]))
+                if seen:
+                    seen.scored += need[j]
+                    seen.collected += len(at)
+        for j, query in enumerate(block):
+            rows = np.unique(np.concatenate([at for at, _ in found[j]]))
+            totals = np.zeros(len(rows), x.dtype)
+            for (a, b), (at, scores) in zip(parts, found[j]):
+                place = np.searchsorted(rows, at)
+                totals[place] += scores
+                lacks = np.ones(len(rows), bool)
+                lacks[place] = False
+                totals[lacks] += x[rows[lacks], a:b] @ query[a:b]
+                if seen:
+                    seen.resolved += int(lacks.sum())
+            enough = np.ones(len(rows), bool) if limits[j] is None else totals >= limits[j]
+            yield rows[enough], totals[enough]
+
+
 def _collect(most: int, lists: int):
     """Phases 2 and 3: entries over the uniform threshold, resolved and held against the cutoff."""
 
@@ -99,24 +160,11 @@ def _collect(most: int, lists: int):
         out = [[], [], []]
         if len(left) and len(right):
             q, x, parts, qid, cid = _loaded(left, right, lists)
-            cutoffs = left.column("cutoff").to_pylist()
-            for start in range(0, len(q), 256):
-                block = q[start : start + 256]
-                local = [block[:, a:b] @ x[:, a:b].T for a, b in parts]
-                for k in range(len(block)):
-                    cutoff = cutoffs[start + k]
-                    if cutoff is None:
-                        at = np.arange(len(x))
-                        totals = sum(s[k] for s in local)
-                    else:
-                        at = np.flatnonzero(np.any([s[k] * len(parts) >= cutoff for s in local], axis=0))
-                        totals = sum(s[k, at] for s in local)
-                        enough = totals >= cutoff
-                        at, totals = at[enough], totals[enough]
-                    best = vectors.best_rows(totals, cid[at], most)
-                    out[0].append(np.full(len(best), qid[start + k]))
-                    out[1].append(cid[at[best]])
-                    out[2].append(totals[best])
+            for own, (at, totals) in zip(qid, candidates(q, x, parts, left.column("cutoff").to_pylist())):
+                best = vectors.best_rows(totals, cid[at], most)
+                out[0].append(np.full(len(best), own))
+                out[1].append(cid[at[best]])
+                out[2].append(totals[best])
         names = ("qid", "cid", "score")
         return pa.table({n: np.concatenate(v).astype(np.int64) if v else pa.array([], pa.int64()) for n, v in zip(names, out)})
 

@@ -70,13 +70,39 @@ def test_ann_with_all_parts_is_exact(spark):
     assert ann_search.search(df.limit(0)).count() == 0
 
 
-def test_ann_recall(spark):
+def recall(got, want):
+    return sum(len({i for i, _ in got.get(q, [])} & {i for i, _ in want[q]}) for q in want) / sum(map(len, want.values()))
+
+
+def test_registered_ann_recall(spark):
+    """The query with its production parameters: several parts, not all of them probed, recall by brute force."""
     sf = "/root/testdata/sf0.1"
-    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    want = brute(spark.read.parquet(f"{sf}/embeddings.parquet"), list, False)
+    got = listed(queries.op6_ann_search(spark, sf))
+    assert recall(got, want) >= 0.9
+    exact = {q: dict(v) for q, v in want.items()}
+    assert all(abs(exact[q][i] - s) < 1e-9 for q, v in got.items() for i, s in v if i in exact[q])
+
+
+def test_ann_routes_again_within_large_parts(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(24, 12))
+    x = np.vstack([c + 0.15 * rng.normal(size=(60, 12)) for c in centres])
+    table = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     want = brute(table, list, False)
-    got = listed(ann_search.search(table, part_rows=250))
-    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
-    assert len(listed(queries.op6_ann_search(spark, sf))) == len(want)
+    got = listed(ann_search.search(table, sample=400, part_rows=40, least_parts=4, most_parts=8))
+    assert recall(got, want) >= 0.9
+
+
+def test_threshold_leaves_most_scores_alone(spark):
+    own = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("embedding IS NOT NULL").toPandas()
+    x = np.floor(64 * np.stack([np.asarray(v, float) for v in own.embedding]))
+    q = x[own.vec_id.to_numpy() % 20 == 0]
+    totals, half, seen = q @ x.T, x.shape[1] // 2, topk_search.Resolved()
+    cutoffs = np.sort(totals, 1)[:, -21]
+    for k, (at, found) in enumerate(topk_search.candidates(q, x, [(0, half), (half, x.shape[1])], list(cutoffs), seen)):
+        assert at.tolist() == np.flatnonzero(totals[k] >= cutoffs[k]).tolist() and found.tolist() == totals[k, at].tolist()
+    assert seen.resolved <= seen.collected < 0.15 * totals.size
 
 
 def test_parts_are_balanced_and_follow_clusters():
