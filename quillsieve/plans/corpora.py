@@ -43,9 +43,9 @@ def event_log(d: Dialect) -> str:
 
 
 def event_cap(d: Dialect) -> str:
-    """Four long logs with few signal lines; neighbours never have one shape."""
+    """Logs of 250 lines with few signal lines; neighbours never have one shape."""
     line = "CASE WHEN event_type = 'error' AND k < 5 THEN concat('ERROR request ', event_id, ' failed code ', k) ELSE rtrim(repeat(concat('job', event_id, ' '), CAST(event_id % 5 + 1 AS INT))) END"
-    return _numbered("event_id % 4", "event_id", line, events(d))
+    return _numbered("floor(event_id / 250)", "event_id", line, events(d))
 
 
 def event_runs(d: Dialect) -> str:
@@ -55,24 +55,24 @@ def event_runs(d: Dialect) -> str:
 
 def event_jsonl(d: Dialect) -> str:
     level = "CASE event_type WHEN 'error' THEN 50 WHEN 'view' THEN 20 ELSE 30 END"
-    return _numbered("event_id % 100", "event_id", f"concat('{{\"level\":', {level}, ',\"msg\":\"job ', event_id, '\"}}')", events(d))
+    return _numbered("floor(event_id / 200)", "event_id", f"concat('{{\"level\":', {level}, ',\"msg\":\"job ', event_id, '\"}}')", events(d))
 
 
 def tsc_rows(d: Dialect) -> str:
     line = "concat('src/p', l_partkey, '.ts(', l_linenumber, ',', l_orderkey % 90, '): error TS', 2000 + l_partkey % 7, ': Kind ', l_partkey % 7)"
-    return _numbered("l_suppkey % 10", "l_orderkey, l_linenumber, l_partkey, l_suppkey", line, d.table("lineitem"))
+    return _numbered("floor(l_orderkey / 200)", "l_orderkey, l_linenumber, l_partkey, l_suppkey", line, d.table("lineitem"))
 
 
 def js_rows(d: Dialect) -> str:
     line = "CASE WHEN o_orderkey % 9 = 0 THEN concat('   × case ', o_orderkey) WHEN o_orderkey % 40 = 1 THEN concat(' ✓ suite', o_orderkey, ' (15 tests) 20ms') ELSE concat('   ✓ case ', o_orderkey, ' (', o_orderkey % 50, 'ms)') END"
-    rows = _numbered("o_custkey % 20", "o_orderkey", line, d.table("orders"))
-    return f"{rows} UNION ALL SELECT DISTINCT CAST(o_custkey % 20 AS BIGINT), CAST(1000000000 AS BIGINT), 'Tests:       done' FROM {d.table('orders')}"
+    rows = _numbered("floor(o_orderkey / 400)", "o_orderkey", line, d.table("orders"))
+    return f"{rows} UNION ALL SELECT DISTINCT CAST(floor(o_orderkey / 400) AS BIGINT), CAST(1000000000 AS BIGINT), 'Tests:       done' FROM {d.table('orders')}"
 
 
 def py_rows(d: Dialect) -> str:
     line = "CASE WHEN o_orderkey % 11 = 0 THEN concat('tests/test_a.py::test_', o_orderkey, ' FAILED') ELSE concat('tests/test_a.py::test_', o_orderkey, ' PASSED [ ', o_orderkey % 100, '%]') END"
-    rows = _numbered("o_custkey % 20", "o_orderkey", line, d.table("orders"))
-    doc = f"SELECT DISTINCT CAST(o_custkey % 20 AS BIGINT) AS doc_id FROM {d.table('orders')}"
+    rows = _numbered("floor(o_orderkey / 400)", "o_orderkey", line, d.table("orders"))
+    doc = f"SELECT DISTINCT CAST(floor(o_orderkey / 400) AS BIGINT) AS doc_id FROM {d.table('orders')}"
     return (
         f"{rows} UNION ALL SELECT doc_id, CAST(-1 AS BIGINT), '==== test session starts ====' FROM ({doc}) a"
         f" UNION ALL SELECT doc_id, CAST(1000000000 AS BIGINT), '==== FAILURES ====' FROM ({doc}) b"
@@ -82,25 +82,25 @@ def py_rows(d: Dialect) -> str:
 
 def go_rows(d: Dialect) -> str:
     line = "CASE o_orderkey % 4 WHEN 0 THEN concat('=== RUN   TestA', o_orderkey) WHEN 1 THEN concat('--- PASS: TestA', o_orderkey, ' (0.01s)') WHEN 2 THEN concat('    a_test.go:', o_orderkey, ': got 3') ELSE concat('--- FAIL: TestA', o_orderkey, ' (0.01s)') END"
-    return _numbered("o_custkey % 20", "o_orderkey", line, d.table("orders"))
+    return _numbered("floor(o_orderkey / 400)", "o_orderkey", line, d.table("orders"))
 
 
 def stat_rows(d: Dialect) -> str:
-    rows = _numbered("p_partkey % 10", "p_partkey", "concat(' src/p', p_partkey, '.py | ', p_size, ' ', repeat('+', CAST(p_size % 30 + 1 AS INT)), repeat('-', CAST(p_partkey % 9 AS INT)))", d.table("part"))
-    return f"{rows} UNION ALL SELECT DISTINCT CAST(p_partkey % 10 AS BIGINT), CAST(1000000000 AS BIGINT), ' 99 files changed, 9 insertions(+)' FROM {d.table('part')}"
+    rows = _numbered("floor(p_partkey / 100)", "p_partkey", "concat(' src/p', p_partkey, '.py | ', p_size, ' ', repeat('+', CAST(p_size % 30 + 1 AS INT)), repeat('-', CAST(p_partkey % 9 AS INT)))", d.table("part"))
+    return f"{rows} UNION ALL SELECT DISTINCT CAST(floor(p_partkey / 100) AS BIGINT), CAST(1000000000 AS BIGINT), ' 99 files changed, 9 insertions(+)' FROM {d.table('part')}"
 
 
 def rust_rows(d: Dialect) -> str:
     source = f"(SELECT *, unnest_n AS part FROM {d.table('orders')} CROSS JOIN (SELECT 0 AS unnest_n UNION ALL SELECT 1) n) AS o"
     line = "CASE part WHEN 0 THEN concat('error[E', o_orderkey % 7, ']: mismatched kind ', o_orderkey % 7) ELSE concat(' --> src/f', o_orderkey, '.rs:', o_custkey, ':5') END"
-    return _numbered("o_custkey % 20", "o_orderkey, part", line, source)
+    return _numbered("floor(o_orderkey / 400)", "o_orderkey, part", line, source)
 
 
 def lint_docs(d: Dialect) -> str:
     """Lint reports: a file a brand, a message a part, every third brand without messages."""
     message = "concat('{\"ruleId\":\"r', p_partkey % 3, '\",\"severity\":', 1 + p_partkey % 2, ',\"message\":\"m', p_partkey % 5, '\",\"line\":', p_size, ',\"column\":', p_partkey % 80 + 1, '}')"
     clean = "CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) % 3 = 0"
-    files = f"SELECT p_partkey % 50 AS doc_id, p_brand, CASE WHEN {clean} THEN '' ELSE {d.joined(message, 'p_partkey', chr(39) + ',' + chr(39))} END AS m FROM {d.table('part')} GROUP BY p_partkey % 50, p_brand"
+    files = f"SELECT floor(p_partkey / 200) AS doc_id, p_brand, CASE WHEN {clean} THEN '' ELSE {d.joined(message, 'p_partkey', chr(39) + ',' + chr(39))} END AS m FROM {d.table('part')} GROUP BY floor(p_partkey / 200), p_brand"
     one = "concat('{\"filePath\":\"/src/', p_brand, '.js\",\"messages\":[', m, '],\"usedDeprecatedRules\":[],\"source\":\"', repeat('x', 100), '\"}')"
     return f"SELECT CAST(doc_id AS BIGINT) AS doc_id, concat('[', {d.joined(one, 'p_brand', chr(39) + ',' + chr(39))}, ']') AS text FROM ({files}) f GROUP BY doc_id"
 
@@ -111,7 +111,7 @@ def audit_docs(d: Dialect) -> str:
     severity = "CASE p_partkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'critical' END"
     item = f"concat('\"', {name}, '\":{{\"severity\":\"', {severity}, '\",\"isDirect\":', CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END, ',\"via\":[\"x', p_size, '\",{{\"title\":\"t', p_partkey % 4, '\"}}],\"range\":\"<', p_size, '.0\",\"fixAvailable\":', CASE WHEN p_size % 3 = 0 THEN 'true' ELSE 'false' END, ',\"nodes\":[\"node_modules/some/very/long/path\"]}}')"
     tail = "concat('\"metadata\":{\"vulnerabilities\":{\"high\":', count(*), ',\"low\":2},\"totalDependencies\":', count(*) * 2, '}}')"
-    return f"SELECT CAST(p_partkey % 20 AS BIGINT) AS doc_id, concat('{{\"vulnerabilities\":{{', {d.joined(item, 'p_partkey', chr(39) + ',' + chr(39))}, '}},', {tail}) AS text FROM {d.table('part')} GROUP BY p_partkey % 20"
+    return f"SELECT CAST(floor(p_partkey / 200) AS BIGINT) AS doc_id, concat('{{\"vulnerabilities\":{{', {d.joined(item, 'p_partkey', chr(39) + ',' + chr(39))}, '}},', {tail}) AS text FROM {d.table('part')} GROUP BY floor(p_partkey / 200)"
 
 
 def dirty(d: Dialect) -> str:

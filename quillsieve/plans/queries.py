@@ -279,7 +279,7 @@ def cap_lines(spark, sf_dir):
 @query(
     _sql(
         D.event_cap,
-        f"SELECT t.doc_id, CAST(length(text) AS BIGINT) AS in_bytes, CAST(length(out) AS BIGINT) AS out_bytes, omitted, e.errors FROM capped JOIN {D.duck_texts(D.event_cap)} t USING (doc_id) JOIN (SELECT doc_id, count(*) AS errors FROM kept WHERE sig GROUP BY doc_id) e USING (doc_id)",
+        f"SELECT t.doc_id, CAST(length(text) AS BIGINT) AS in_bytes, CAST(length(out) AS BIGINT) AS out_bytes, omitted, coalesce(e.errors, 0) AS errors FROM capped JOIN {D.duck_texts(D.event_cap)} t USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS errors FROM kept WHERE sig GROUP BY doc_id) e USING (doc_id)",
         flagged=FLAGGED, kept=KEPT, gaps=GAPS, capped=CAPPED,
     )
 )
@@ -417,7 +417,7 @@ CLEAN = "CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) % 3 = 0"
 
 
 @query(
-    f"""WITH m AS (SELECT p_partkey % 50 AS doc_id, p_brand, p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'warning' ELSE 'error' END AS sev, p_size || ':' || (p_partkey % 80 + 1) AS place, 'm' || p_partkey % 5 AS msg, 'r' || p_partkey % 3 AS rule, {CLEAN} AS clean FROM part),
+    f"""WITH m AS (SELECT floor(p_partkey / 200) AS doc_id, p_brand, p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'warning' ELSE 'error' END AS sev, p_size || ':' || (p_partkey % 80 + 1) AS place, 'm' || p_partkey % 5 AS msg, 'r' || p_partkey % 3 AS rule, {CLEAN} AS clean FROM part),
 u AS (SELECT doc_id, p_brand, place, msg, rule, min(p_partkey) AS first, min_by(sev, p_partkey) AS sev FROM m WHERE NOT clean GROUP BY ALL),
 f AS (SELECT doc_id, p_brand, '/src/' || p_brand || '.js' || chr(10) || string_agg('  ' || place || '  ' || sev || '  ' || msg || '  (' || rule || ')', chr(10) ORDER BY first) AS body, count(*) AS kept FROM u GROUP BY doc_id, p_brand),
 t AS (SELECT doc_id, count(*) FILTER (NOT clean AND sev = 'error') AS e, count(*) FILTER (NOT clean AND sev = 'warning') AS w, count(*) FILTER (NOT clean) AS n, count(DISTINCT p_brand) FILTER (clean) AS cl FROM m GROUP BY doc_id),
@@ -431,8 +431,8 @@ def fmt_eslint(spark, sf_dir):
 
 
 @query(
-    f"""SELECT CAST(p_partkey % 20 AS BIGINT) AS doc_id, md5('npm audit: critical 0, high ' || count(*) || ', moderate 0, low 2, info 0' || chr(10) || string_agg(CASE p_partkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'critical' END || ' pkg-' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || ' <' || p_size || '.0 — x' || p_size || '; t' || p_partkey % 4
- || ' [' || CASE WHEN p_size % 2 = 0 THEN 'direct' ELSE 'transitive' END || '; ' || CASE WHEN p_size % 3 = 0 THEN 'fix available' ELSE 'no fix' END || ']', chr(10) ORDER BY p_partkey) || chr(10) || 'dependencies: ' || count(*) * 2) AS digest, CAST(0 AS BIGINT) AS omitted FROM part GROUP BY p_partkey % 20 HAVING count(*) <= 1998"""
+    f"""SELECT CAST(floor(p_partkey / 200) AS BIGINT) AS doc_id, md5('npm audit: critical 0, high ' || count(*) || ', moderate 0, low 2, info 0' || chr(10) || string_agg(CASE p_partkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'critical' END || ' pkg-' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || ' <' || p_size || '.0 — x' || p_size || '; t' || p_partkey % 4
+ || ' [' || CASE WHEN p_size % 2 = 0 THEN 'direct' ELSE 'transitive' END || '; ' || CASE WHEN p_size % 3 = 0 THEN 'fix available' ELSE 'no fix' END || ']', chr(10) ORDER BY p_partkey) || chr(10) || 'dependencies: ' || count(*) * 2) AS digest, CAST(0 AS BIGINT) AS omitted FROM part GROUP BY floor(p_partkey / 200) HAVING count(*) <= 1998"""
 )
 def fmt_audit(spark, sf_dir):
     return _read(spark, sf_dir, D.audit_docs, "npm-audit", load)
