@@ -419,11 +419,11 @@ def dedup(docs: DataFrame, length: int = 400, most_fragments: int | None = None)
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     rows = written(narrow.mapInArrow(_fragments(length), _SCHEMA))
-    texts_of = rows.where("n_bytes IS NOT NULL").select("doc_id", "text_key", "n_bytes", "sha")
+    texts_of = written(rows.where("n_bytes IS NOT NULL").select("doc_id", "text_key", "n_bytes", "sha"))
     every = rows.where("anchor IS NOT NULL").select("text_key", "anchor", "body", "first", "last", "at")
     often = written(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
     met = written(_with_groups(every, often, "n").drop("n"))  # an anchor met once holds no repeat
-    released(often)
+    released(often, rows)
     bodies = written(met.groupBy("anchor", "body").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "first", "last", "at")).alias("one")))
     groups = written(bodies.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")))
     differing = written(_with_groups(bodies, groups.where("kinds > 1 AND least = 1"), "kinds"))
@@ -440,7 +440,9 @@ def dedup(docs: DataFrame, length: int = 400, most_fragments: int | None = None)
     any_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     wanted = texts_of.join(touched, "text_key", "left_semi").groupBy("text_key").agg(F.min(any_id).alias("id"))
     wanted = wanted.join(lists, "text_key", "left").hint("shuffle_hash")
-    found = narrow.withColumn("id", any_id).join(wanted, "id").select("text_key", "text", "parts").mapInArrow(_own, "text_key long, text string, parts array<struct<anchor:bigint,body:bigint,first:int,last:int,at:int,hot:boolean>>").dropDuplicates(["text_key"])
+    found = narrow.withColumn("id", any_id).join(wanted, "id").select("text_key", "text", "parts").mapInArrow(_own, "text_key long, text string, parts array<struct<anchor:bigint,body:bigint,first:int,last:int,at:int,hot:boolean>>")
+    if texts_of.groupBy(any_id).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        found = found.dropDuplicates(["text_key"])  # else each text has come once already
     found = written(found)
     released(differing)
 
