@@ -27,8 +27,8 @@ POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.7}
 
 def topic_of(text: Column, words: Column) -> Column:
     """A topic from a text's form, as ``documents`` names none: table, shout, note, article or book."""
-    bars = F.length(text) - F.length(F.translate(text, "|", ""))
-    upper = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
+    upper = F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))
     return (
         F.when(bars * 8 > words, "table")
         .when(upper * 3 > F.length(text), "shout")
@@ -191,7 +191,7 @@ def sample(docs: DataFrame, keep: float = 0.5, targets: dict | None = None, seed
 def sampled_rows(docs: DataFrame, keep: float = 0.5, targets: dict | None = None, seed: str = "mix") -> DataFrame:
     """The rows of ``docs`` that are drawn, as they are. Rows of cells that fell to probability 0 go."""
     plan = calibrate(docs, keep, targets)
-    named = docs.withColumn("__row", F.struct(*docs.columns)).select("__row", *docs.select("doc_id", "text", "source", "lang").columns)
+    named = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text", "source", "lang")
     named = with_axes(named).withColumn("__u", draw(named, seed))
     out = named.join(plan, list(AXES), "left").where(F.col("__u") < F.col("probability"))
     return out.select("__row.*")
