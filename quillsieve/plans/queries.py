@@ -445,7 +445,7 @@ def _mixed(spark, sf_dir) -> DataFrame:
     for name, df in parts:
         one = df.select(F.lit(name).alias("corpus"), "doc_id", "text")
         out = one if out is None else out.unionByName(one)
-    return out
+    return spread(out)
 
 
 @query()
