@@ -85,3 +85,24 @@ def test_lm_probabilities_add_up():
 def test_lm_beats_its_base_on_held_out_rows(spark):
     rows = queries.op10_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").toPandas()
     assert rows.score.sum() > rows.base_score.sum()
+
+
+def test_registered_lm_score_is_the_models(spark, sf, monkeypatch):
+    """The registered score, token by token: softmax over classes, then add-one counts within the class."""
+    held = {}
+    train = lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda *a, **k: held.setdefault("model", train(*a, **k)))
+    got = {r.doc_id: r.score for r in queries.op10_lm_scoring(spark, sf).collect()}
+    weights, bias = held["model"]
+    texts = {i: [*(t or "").encode().lower().split(), b""] for i, t in collected(spark.read.parquet(f"{sf}/documents.parquet"))}
+    counts = Counter(w for i, own in texts.items() if remainder(i, 7) != 2 for w in own)
+    totals = Counter()
+    for w, n in counts.items():
+        totals[lm_scoring.token_class(w)] += n + 1
+    for i in sorted(texts)[:60]:
+        classes = [lm_scoring.token_class(w) for w in texts[i]]
+        before = [lm_scoring.END_CLASS, lm_scoring.END_CLASS, *classes]
+        context = np.array([two * lm_scoring.CLASSES + one for two, one in zip(before, before[1:])][: len(classes)])
+        factor = lm_scoring.log_probabilities(weights, bias, context)[np.arange(len(classes)), classes] / math.log(10)
+        within = [0.0 if not w else math.log10((counts[w] + 1) / (totals[c] + 1)) for w, c in zip(texts[i], classes)]
+        assert abs(got[i] - (factor.sum() + sum(within))) < 1e-3 * len(classes)

@@ -48,3 +48,16 @@ def test_odd_rows_pass_every_stage(spark, sf):
         assert empty.count() == 0
     assert docs.count() > 0 and np.all([r.n_tokens >= 0 for r in docs.collect()])
     assert J.shingles([b"a"], 3) == {(b"a",)}
+
+
+def test_columns_of_clashing_names_keep_their_values(spark, sf):
+    from pyspark.sql import functions as F
+
+    names = ["rows", "found", "predicted", "score", "__id", "__rows", "__found", "__kinds", "__text", "key", "label", "map", "n", "sig", "topic", "weight", "probability", "u", "n_tokens"]
+    docs = odd_docs(spark, 30).drop("predicted", "score").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, sf))
+        assert docs.schema.names == before.schema.names, name
+        assert docs.where(" OR ".join(f"coalesce(`{c}` <> concat('{c}', doc_id), false)" for c in names)).count() == 0, name
+        assert docs.where("`rows` IS NULL AND doc_id IS NOT NULL").count() == 0, name
