@@ -30,7 +30,7 @@ from .common import free_names, partitions_for, released, whole_text, written
 
 SPARE = 4  # a tier has segments beyond what its largest set needs: one for so many, where h is 4 and more; 2 at least
 BLOCK_SETS = 2048  # sets of a signature that a task holds at once; beyond that they meet in pairs of blocks
-MOST_BITS = 1 << 16  # of a bitmap
+MOST_BITS = 1 << 14  # of a bitmap; larger sets keep the same bound, which then lets more pairs through to the texts
 DELETION, PARITY = 1, 2  # flags in a signature's lowest bits: of the first segment; parity of the tier's number
 SIG_BITS = 40  # of a signature's bits that travel; its bucket gives more
 
@@ -129,8 +129,9 @@ def signatures(h: np.ndarray, percent: int) -> list[np.ndarray]:
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """A bit for each hash, flipped as often as it is met; as many bits as hashes, rounded up to a power of two."""
-    bits = min(MOST_BITS, max(64, 1 << max(0, len(h) - 1).bit_length()))
+    """A bit for each hash, flipped as often as it is met; as many bits as hashes, rounded to a power of two: unrelated
+    sets differ in a third of them and more, similar ones (0.8) in two ninths at most."""
+    bits = min(MOST_BITS, max(64, 1 << round(np.log2(len(h)))))
     odd = np.bincount((h >> np.uint64(9)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
