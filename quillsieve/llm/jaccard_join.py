@@ -11,7 +11,8 @@ A set also has a bitmap with a bit flipped for each shingle. Two bitmaps differ
 in shingles, so pairs within a signature are first held against that bound; what passes is verified on the texts. A
 signature's members are first held against hubs, the members with most shared signatures, then against the least
 partner that passes the bound, as long as that makes links; what is connected then needs no further test. Last come
-all pairs that pass and are still apart, so no link between different components is lost.
+all pairs that pass and are still apart, so no link between different components is lost. These are mostly close misses,
+so those members that still have such pairs get longer bitmaps, whose bound is nearly the true difference.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from .common import free_names, partitions_for, released, whole_text, written
 SPARE = 4  # a tier has segments beyond what its largest set needs: one for so many, where h is 4 and more; 2 at least
 BLOCK_SETS = 2048  # sets of a signature that a task holds at once; beyond that they meet in pairs of blocks
 MOST_BITS = 1 << 14  # of a bitmap; larger sets keep the same bound, which then lets more pairs through to the texts
+FINE = 16  # times as long are the bitmaps of the last pairs: they miss about a seventieth of a similar pair's difference
 DELETION, PARITY = 1, 2  # flags in a signature's lowest bits: of the first segment; parity of the tier's number
 SIG_BITS = 40  # of a signature's bits that travel; its bucket gives more
 
@@ -128,17 +130,18 @@ def signatures(h: np.ndarray, percent: int) -> list[np.ndarray]:
     return out
 
 
-def bitmap(h: np.ndarray) -> bytes:
+def bitmap(h: np.ndarray, times: int = 1) -> bytes:
     """A bit for each hash, flipped as often as it is met; as many bits as hashes, rounded to a power of two: unrelated
-    sets differ in a third of them and more, similar ones (0.8) in two ninths at most."""
-    bits = min(MOST_BITS, max(64, 1 << round(np.log2(len(h)))))
+    sets differ in a third of them and more, similar ones (0.8) in two ninths at most. ``times`` as many make the count
+    of different bits the truer."""
+    bits = times * min(MOST_BITS, max(64, 1 << round(np.log2(len(h)))))
     odd = np.bincount((h >> np.uint64(9)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def bitmaps(maps: list[bytes]) -> np.ndarray:
-    """Bitmaps as rows of words, folded to the shortest one's length."""
-    width = min(map(len, maps))
+def bitmaps(maps: list[bytes], shorter: int = 1) -> np.ndarray:
+    """Bitmaps as rows of words, folded to the shortest one's length, or to ``shorter`` times less."""
+    width = max(8, min(map(len, maps)) // shorter)
     rows = []
     for m in maps:
         while len(m) > width:
@@ -257,6 +260,15 @@ def _keyed(n: int):
     return run
 
 
+def _fine(n: int):
+    def run(batches):
+        for batch in batches:
+            maps = [bitmap(shingle_hashes(words_of(t.as_py()), n), FINE) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], names=["key", "map"])
+
+    return run
+
+
 def _verified(n: int, percent: int):
     def run(batches):
         known: dict = {}
@@ -318,13 +330,35 @@ SMALL_CELL = 64  # members of a cell whose pairs are laid out together with thos
 
 def _near(percent: int, mode: str):
     """Pairs of a cell's members whose bitmaps allow a link: with its hub ("hub"), each member's least ("least"), "all";
-    or ("any") the members that have any such pair, each beside itself."""
+    or ("any") the members that have any such pair, each beside itself. "all" takes the longer bitmaps, and holds what
+    passes these when folded against their whole length."""
 
     def room(a, b):
         return (a + b) * (100 - percent) // (100 + percent)
 
+    def within(x, y, size, maps):
+        """Which pairs of members ``x, y`` have bitmaps that allow a link, at the shorter one's length."""
+        used = np.unique(np.concatenate([x, y]))
+        width = np.array([len(maps[k]) for k in used.tolist()], np.int64)
+        place = np.zeros(len(size), np.int64)
+        place[used] = np.arange(len(used))
+        least = np.minimum(width[place[x]], width[place[y]])
+        ok = np.zeros(len(x), bool)
+        for w in np.unique(least).tolist():
+            mine = np.flatnonzero(least == w)
+            rows = np.unique(np.concatenate([x[mine], y[mine]]))
+            words = bitmaps([*(maps[k] for k in rows.tolist()), b"\0" * w])
+            at = np.zeros(len(size), np.int64)
+            at[rows] = np.arange(len(rows))
+            step = max(1, 2_000_000 // words.shape[1])
+            for start in range(0, len(mine), step):
+                part = mine[start : start + step]
+                a, b = x[part], y[part]
+                ok[part] = np.bitwise_count(words[at[a]] ^ words[at[b]]).sum(1, dtype=np.int64) <= room(size[a], size[b])
+        return ok
+
     def partners(key, label, size, weight, asks, block, maps):
-        words = bitmaps(maps)
+        words = bitmaps(maps, FINE if mode == "all" else 1)
         crossing = (block != block[0]).any()
 
         def allowed(x):
@@ -365,8 +399,10 @@ def _near(percent: int, mode: str):
                 out[1].append(key[ok[some].argmax(1)])  # members are in order of their keys
             else:
                 a, b = np.nonzero(ok)
-                out[0].append(key[x[a]])
-                out[1].append(key[b])
+                a = x[a]
+                good = within(a, b, size, maps)
+                out[0].append(key[a[good]])
+                out[1].append(key[b[good]])
         if mode == "any":
             own = np.array(sorted(found), np.int64)
             return own, own
@@ -391,23 +427,7 @@ def _near(percent: int, mode: str):
             lows.append(x[good])
             highs.append(y[good])
         x, y = np.concatenate(lows), np.concatenate(highs)
-        used = np.unique(np.concatenate([x, y]))
-        width = np.array([len(maps[k]) for k in used.tolist()], np.int64)
-        place = np.zeros(len(key), np.int64)
-        place[used] = np.arange(len(used))
-        least = np.minimum(width[place[x]], width[place[y]])
-        ok = np.zeros(len(x), bool)
-        for w in np.unique(least).tolist():
-            mine = np.flatnonzero(least == w)
-            rows = np.unique(np.concatenate([x[mine], y[mine]]))
-            words = bitmaps([*(maps[k] for k in rows.tolist()), b"\0" * w])
-            at = np.zeros(len(key), np.int64)
-            at[rows] = np.arange(len(rows))
-            step = max(1, 2_000_000 // words.shape[1])
-            for start in range(0, len(mine), step):
-                part = mine[start : start + step]
-                a, b = x[part], y[part]
-                ok[part] = np.bitwise_count(words[at[a]] ^ words[at[b]]).sum(1, dtype=np.int64) <= room(size[a], size[b])
+        ok = within(x, y, size, maps)
         x, y = x[ok], y[ok]
         if mode == "any":
             own = np.unique(key[np.concatenate([x, y])])
@@ -518,6 +538,11 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90, hubs: int = 2) -> DataF
     modes = ["hub"] * hubs + ["least"]
     while own.limit(1).count():
         mode = modes.pop(0) if modes else "all"
+        if mode == "all":  # the members that still have pairs, with longer bitmaps
+            alive = written(_dealt(own, True).mapInArrow(_near(percent, "any"), "a long, b long").select(F.col("a").alias("key")).distinct())
+            fine = written(texts.join(alive, "key", "left_semi").select("key", "text").mapInArrow(_fine(n), "key long, map binary"))
+            before, own = own, written(split(own.join(alive, "key", "left_semi"), "label").drop("map").join(fine, "key"))
+            released(before, alive, fine)
         some = own
         if mode == "hub" and labels is not None:  # one member stands for its component
             some = own.groupBy("sig", "label").agg(F.max_by(F.struct("key", "size", "weight", "asks", "map"), "weight").alias("m")).select("sig", "label", "m.*")

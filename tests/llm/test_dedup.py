@@ -137,6 +137,44 @@ def test_join_needs_no_hub(spark):
     assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in J.link(docs, 3, 80, hubs=0).collect()) == brute_components(rows, 3, 80)
 
 
+def close_misses(seed=9, groups=3, size=40):
+    """Texts of groups that share most words, at similarities around 0.8: many pairs just below, some above."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(groups):
+        base = [f"g{g}w{k}" for k in range(150)]
+        for v in range(size):
+            own = list(base)
+            for k in range(rng.randint(1, 4)):
+                own[rng.randrange(len(own))] = f"v{g}x{v}y{k}"
+            rows.append(" ".join(own))
+    return list(enumerate(rng.sample(rows, len(rows))))
+
+
+def test_join_of_close_misses(spark, monkeypatch):
+    """Same components, and few pairs of the last phase come to be verified."""
+    rows, asked, wide = close_misses(), [], J._wide
+    monkeypatch.setattr(J, "_wide", lambda pairs, *a: asked.append(pairs.count()) or wide(pairs, *a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hubs in (0, 2):
+        asked.clear()
+        got = sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in J.link(docs, 5, 80, hubs=hubs).collect())
+        assert got == brute_components(rows, 5, 80)
+        assert asked[-1] < 200
+
+
+def test_longer_bitmaps_keep_the_bound():
+    rng = random.Random(2)
+    for size in (1, 3, 40, 700, 20_000):
+        sets = [J.shingle_hashes([f"w{rng.randrange(3 * size)}".encode() for _ in range(size)], 1) for _ in range(4)]
+        apart = len(set(sets[0].tolist()) ^ set(sets[1].tolist()))
+        for times in (1, J.FINE):
+            a, b = J.bitmaps([J.bitmap(h, times) for h in sets])[:2]
+            assert int(J.np.bitwise_count(a ^ b).sum()) <= apart
+        long = J.bitmaps([J.bitmap(h, J.FINE) for h in sets], J.FINE)
+        assert (long == J.bitmaps([J.bitmap(h) for h in sets])).all()
+
+
 def test_hot_signatures_keep_every_member():
     import pyarrow as pa
 
