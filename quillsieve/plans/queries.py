@@ -107,7 +107,7 @@ def protected_trailer(spark, sf_dir):
     return load(spark, sf_dir, DIRTY).select("doc_id", X.protected_trailer(F.col("text")).alias("trailer"))
 
 
-@query(_sql(DIRTY, "SELECT doc_id, md5(CASE WHEN doc_id % 5 = 4 THEN 'cut' || chr(10) || 'Full result: /tmp/out' ELSE 'cut' END) AS digest FROM c"))
+@query(_sql(DIRTY, f"SELECT doc_id, md5(CASE WHEN regexp_matches({LAST}, '^Full result: .+$') THEN 'cut' || chr(10) || {LAST} ELSE 'cut' END) AS digest FROM c"))
 def trailer_kept(spark, sf_dir):
     """A view that lost its protected trailer gets it back as its last line; digest without line ends at the end."""
     kept = X.keep_trailer(F.lit("cut\n\n"), F.col("text"))
@@ -166,7 +166,7 @@ def chat_words(spark, sf_dir):
 
 
 # --- scalars ------------------------------------------------------------------------------------------------------------
-@query(_sql(P, "SELECT id, CASE WHEN id % 6 = 3 THEN 'mod' || id || ',w' || regexp_extract(prompt, 'W([0-9]+)42', 1) || '42' ELSE '' END AS tokens FROM c"))
+@query(_sql(P, "SELECT id, array_to_string(list_filter(s, lambda x, i: x <> '' AND list_position(s, x) = i)[1:8], ',') AS tokens FROM (SELECT id, list_transform(regexp_extract_all(prompt, '{}'), lambda x: lower(trim(x[2:-2]))) AS s FROM c) q".format(C.duck(C.QUOTED))))
 def relevance_tokens(spark, sf_dir):
     return load(spark, sf_dir, P).select("id", F.array_join(S.prompt_tokens(F.col("prompt")), ",").alias("tokens"))
 
