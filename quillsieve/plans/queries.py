@@ -217,11 +217,19 @@ def net_win(spark, sf_dir):
     return o.select("o_orderkey", S.net_win(F.col("o_totalprice"), F.col("o_totalprice") * 0.5, F.col("o_totalprice"), F.col("o_custkey")).alias("win"))
 
 
-@query(_sql(P, "SELECT id, CASE WHEN id % 2 = 0 THEN id % 5 ELSE 7 END AS code FROM c"))
+SAID = (
+    "CASE id % 6 WHEN 0 THEN concat('{\"exit_code\":', id % 5, ',\"code\":9}') WHEN 1 THEN concat('{\"exitCode\":\"x', id, '\",\"code\":7}') WHEN 2 THEN concat('{\"code\":4, \"exit_code\":3, \"exitCode\":', id % 3, '}') "
+    "WHEN 3 THEN concat('exit code ', id) WHEN 4 THEN '{\"exitCode\":null,\"exit_code\":true,\"code\":-1}' ELSE '{\"in\":{\"code\":5}}' END"
+)
+
+
+def _number(key: str) -> str:
+    return f"CASE WHEN json_type(j, '$.{key}') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(json_extract(j, '$.{key}') AS BIGINT) END"
+
+
+@query(_sql(P, f"SELECT id, coalesce({_number('exitCode')}, {_number('exit_code')}, {_number('code')}) AS code FROM (SELECT id, TRY_CAST({SAID} AS JSON) AS j FROM c) q"))
 def exit_codes(spark, sf_dir):
-    own = F.col("id").cast("string")
-    said = F.when(F.col("id") % 2 == 0, F.concat(F.lit('{"exit_code":'), (F.col("id") % 5).cast("string"), F.lit(',"code":9}'))).otherwise(F.concat(F.lit('{"exitCode":"x'), own, F.lit('","code":7}')))
-    return load(spark, sf_dir, P).select("id", S.exit_code(said).cast("long").alias("code"))
+    return load(spark, sf_dir, P).select("id", S.exit_code(F.expr(SAID)).cast("long").alias("code"))
 
 
 @query(_sql(P, "SELECT id, '{\"a\":\"' || id % 3 || '\",\"b\":\"x\"}' AS canonical FROM c"))
