@@ -65,9 +65,9 @@ def keep_trailer(out: Column, original: Column) -> Column:
     return F.when(needed, F.concat(body, F.lit("\n"), trailer)).otherwise(out)
 
 
-def is_signal(line: Column) -> Column:
-    """Error, warning and failure vocabulary, runner glyphs, compound names."""
-    return line.rlike(C.SIGNAL) | line.rlike(C.COMPOUND)
+def is_signal(line: Column, keep: str | None = None) -> Column:
+    """Error, warning and failure vocabulary (or ``keep``, in either case), runner glyphs, compound names."""
+    return line.rlike(f"(?i){keep}" if keep else C.SIGNAL) | line.rlike(C.COMPOUND)
 
 
 def looks_like_failure(text: Column, exit_code: Column) -> Column:

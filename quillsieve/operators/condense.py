@@ -37,8 +37,11 @@ OPTIONS = {
 SIDECARS = "/tmp/trim-sidecar"
 
 
-def condense(results: DataFrame, keys: list[str], text: str = "text", folder: str = SIDECARS, registry: tuple = formats.REGISTRY) -> DataFrame:
-    """``keys``, ``out``, the fields of META, and ``sidecar``: what a saved copy holds. Null and empty texts pass as they are."""
+def condense(results: DataFrame, keys: list[str], text: str = "text", folder: str = SIDECARS, registry: tuple = formats.REGISTRY, keep: str | None = None, keep_last: str | None = None) -> DataFrame:
+    """``keys``, ``out``, the fields of META, and ``sidecar``: what a saved copy holds. Null and empty texts pass as they are.
+
+    ``keep``: a pattern in place of the vocabulary of lines to keep; ``keep_last``: one for more lines that stay last.
+    """
     given = [F.col(n).cast(t).alias(f"o_{n}") if n in results.columns else F.lit(None).cast(t).alias(f"o_{n}") for n, t in OPTIONS.items()]
     narrow = results.select(*keys, F.col(text).alias("__text"), *given)
     schema = StructType([*(results.schema[k] for k in keys), StructField("out", StringType()), *META.fields, StructField("sidecar", StringType())])
@@ -56,7 +59,7 @@ def condense(results: DataFrame, keys: list[str], text: str = "text", folder: st
             columns = [batch.column(n_keys + 1 + k).to_pylist() for k in range(len(names))]
             for k, text in enumerate(batch.column(n_keys).to_pylist()):
                 o = {n: c[k] for n, c in zip(names, columns) if c[k] is not None}
-                found.append(textops.condense(text, textops.Options(**o), folder, first_match))
+                found.append(textops.condense(text, textops.Options(**o, keep=keep, keep_last=keep_last), folder, first_match))
             own = [batch.column(k) for k in range(n_keys)]
             made = [pa.array([r.get(n) for r in found], t) for n, t in zip(["out", *facts, "sidecar"], [pa.string(), *types, pa.string()])]
             yield pa.RecordBatch.from_arrays([*own, *made], names=schema.names)

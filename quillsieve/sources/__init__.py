@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import constants as C
 from ..functions import scalars as S
+from ..operators import textops
 
 HOOK_EVENT = (
     "session_id string, transcript_path string, tool_name string, call_id string, "
@@ -125,12 +129,29 @@ def append_log(done: DataFrame, path: str) -> None:
     done.select(F.format_string("%s %d -> %d", "tag", "inBytes", "outBytes").alias("value")).write.mode("append").text(path)
 
 
+def record(done: DataFrame, metrics_path: str | None = None, log_path: str | None = None) -> bool:
+    """Metrics records to the sinks that are configured; without any, nothing is computed. Says whether there was one."""
+    if metrics_path:
+        append_metrics(done, metrics_path)
+    if log_path:
+        append_log(done, log_path)
+    return bool(metrics_path or log_path)
+
+
+def positive_int(value: str | int | None, default: int) -> int:
+    """A setting's leading whole number if it is above 0, else the default."""
+    found = re.match(r"\s*[+-]?[0-9]+", str(value))
+    return int(found[0]) if found and int(found[0]) > 0 else default
+
+
 def write_sidecars(done: DataFrame, path: str) -> int:
     """Save what condensing moved out, once a name; returns how many were new. Runs again without effect.
 
-    A saved output is a row: name, content, and its facts (schema 2).
+    A saved output is a row: name, content, and its facts (schema 2): among them the errors and warnings it holds, the
+    census that a digest showed, and the session, if ``done`` has ``session_id``.
     """
     spark = done.sparkSession
+    session = F.col("session_id").cast("string") if "session_id" in done.columns else F.lit(None).cast("string")
     new = done.where("sidecar IS NOT NULL").select(
         F.element_at(F.split("sidecarPath", "/"), -1).alias("name"),
         F.col("sidecar").alias("content"),
@@ -139,7 +160,10 @@ def write_sidecars(done: DataFrame, path: str) -> int:
         "runtime",
         F.size(F.split("sidecar", "\n", -1)).cast("long").alias("total_lines"),
         F.octet_length("sidecar").cast("long").alias("bytes"),
+        "hostComplete",
         S.sha256_name(F.col("sidecar")).alias("content_hash"),
+        (F.col("strategy") == "sidecar").alias("digested"),
+        session.alias("session_id"),
         F.current_timestamp().alias("created_at"),
     ).dropDuplicates(["name"])
     known = _saved(spark, path)
@@ -147,27 +171,57 @@ def write_sidecars(done: DataFrame, path: str) -> int:
         new = new.join(known.select("name"), "name", "left_anti")
     n = new.count()
     if n:
-        new.write.mode("append").parquet(path)
+        _with_signals(new).write.mode("append").parquet(path)
     return n
 
 
+def _with_signals(saved: DataFrame) -> DataFrame:
+    """``errors, warnings, census`` of each content in one pass where it lies, in place of ``digested``."""
+    fields = [f.simpleString().replace(":", " ", 1) for f in saved.drop("digested").schema]
+
+    def run(batches):
+        for batch in batches:
+            texts = [t.split("\n") for t in batch.column("content").to_pylist()]
+            signals = [[line for line in lines if textops.is_signal(line)] for lines in texts]
+            plain = [textops.census(line for line in own if C.MARK not in line) for own in signals]
+            words = [textops.census_words(textops.census(own)) if d else "" for own, d in zip(signals, batch.column("digested").to_pylist())]
+            made = {"errors": pa.array([sum(n[:3]) for n in plain], pa.int64()), "warnings": pa.array([sum(n[3:]) for n in plain], pa.int64()), "census": pa.array(words, pa.string())}
+            rest = batch.drop_columns(["digested"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, *made.values()], names=[*rest.schema.names, *made])
+
+    return saved.mapInArrow(run, ", ".join([*fields, "errors long", "warnings long", "census string"]))
+
+
 def _saved(spark: SparkSession, path: str) -> DataFrame | None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return spark.read.parquet(path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
 
 
+#: Facts of a saved output in schema 2: name, path in its JSON, type, and what schema 1 stands for.
+FACTS = (
+    ("total_lines", "$.totalLinesObserved", "bigint", "$.totalLines"), ("bytes", "$.bytesObserved", "bigint", "$.bytes"), ("kind", "$.content", "string", "complete-cleaned"),
+    ("runtime", "$.runtime", "string", "unknown"), ("host_complete", "$.hostComplete", "boolean", True), ("errors", "$.diagnostics.errors", "bigint", 0),
+    ("warnings", "$.diagnostics.warnings", "bigint", 0), ("content_hash", "$.contentHash", "string", None), ("census", "$.census", "string", "$.census"),
+    ("session_id", "$.sessionId", "string", "$.sessionId"), ("created_at", "$.createdAt", "string", "$.createdAt"),
+)
+
+
 def sidecar_meta(rows: DataFrame) -> DataFrame:
-    """Facts of saved outputs from their JSON: schema 2 as it is, schema 1 in the same form, others null."""
+    """``facts`` of saved outputs from their JSON: schema 2 as it is, schema 1 in the same form, others null.
+
+    A schema is a number, or a name that ends in ``sidecar-meta/`` and the number. An absent census of schema 1 is empty.
+    """
     v = F.try_parse_json("meta")
     get = lambda p, t: F.try_variant_get(v, p, t)
-    version = get("$.schema", "int")
-    total = F.when(version == 1, F.coalesce(get("$.totalLines", "bigint"), get("$.totalLinesObserved", "bigint"))).otherwise(get("$.totalLinesObserved", "bigint"))
-    made = F.struct(version.alias("schema"), total.alias("total_lines"), get("$.contentHash", "string").alias("content_hash"), get("$.runtime", "string").alias("runtime"))
-    return rows.withColumn("facts", F.when(version.isin(1, 2), made))
+    version = F.regexp_extract(F.coalesce(get("$.schema", "string"), F.lit("")), "^(?:[a-z-]+/sidecar-meta/)?([0-9]+)$", 1)
+    first = lambda old, t: get(old, t) if str(old).startswith("$.") else F.lit(old).cast(t)
+    made = [F.when(version == "2", get(new, t)).otherwise(F.coalesce(first(old, t), F.lit("")) if name == "census" else first(old, t)).alias(name) for name, new, t, old in FACTS]
+    return rows.withColumn("facts", F.when(version.isin("1", "2"), F.struct(F.lit(2).alias("schema"), *made)))
 
 
-def expired(saved: DataFrame, now: Column, hours: int = C.TTL_HOURS, most: int = C.SWEEP_MAX) -> DataFrame:
-    """Saved outputs to sweep: the oldest that are past their time, a bounded number a sweep."""
+def expired(saved: DataFrame, now: Column, hours: int | str | None = None, most: int = C.SWEEP_MAX) -> DataFrame:
+    """Saved outputs to sweep: the oldest that are past their time, a bounded number a sweep. ``hours``: a setting; 72 by default."""
+    hours = positive_int(hours, C.TTL_HOURS)
     return saved.where(F.col("created_at") < now - F.expr(f"INTERVAL {hours} HOURS")).orderBy("created_at", "name").limit(most)
 
 

@@ -3,11 +3,13 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillsieve import constants as C
-from quillsieve.operators import formats, textops as T
+from quillsieve.functions import text
+from quillsieve.operators import condense, formats, textops as T
 
 from .fixtures import EXPECTED, FIXTURES
 
@@ -159,3 +161,17 @@ def test_registered_names(spark):
 
 def test_constants_are_sane():
     assert C.duck(C.SIGNAL).count("(?<") == 0
+
+
+def test_users_patterns(spark):
+    lines = [f"row {'ab'[i % 2] * 5} {i * 7919} {'xyz'[i % 3] * 9}" for i in range(400)]
+    lines[150], lines[250], lines[-1] = "KEEP this line", "error: none of the user's", "Receipt: /a/b"
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").withColumn("exit_code", F.lit(0)).withColumn("no_sidecar", F.lit(True))
+    plain = condense.condense(docs, ["doc_id"]).first()
+    assert "error: none" in plain.out and "KEEP this" not in plain.out and plain.preservedErrors == 1
+    own = condense.condense(docs, ["doc_id"], keep="keep this", keep_last="^Receipt: ").first()
+    assert "KEEP this" in own.out and "error: none" not in own.out and own.out.endswith("\nReceipt: /a/b")
+    assert condense.condense(docs, ["doc_id"], keep_last="(").first().out == plain.out
+    assert T.trailer("a\nReceipt: /a/b\n", "^Receipt: ") == "Receipt: /a/b" and T.trailer("Full result: /x", "(") == "Full result: /x"
+    got = spark.createDataFrame([("KEEP this",), ("error",), ("TypeError",)], "line string").select(text.is_signal(F.col("line"), "keep this").alias("s")).collect()
+    assert [r.s for r in got] == [T.is_signal(x, "keep this") for x in ("KEEP this", "error", "TypeError")] == [True, False, True]

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from quillsieve import sources
-from quillsieve.operators import condense, report
+from quillsieve.operators import condense, report, textops
 
 
 def test_hook_events(spark, tmp_path):
@@ -60,10 +60,40 @@ def test_sidecars_are_written_once(spark, tmp_path):
     assert sources.expired(saved, F.current_timestamp()).count() == 0
 
 
+def test_saved_outputs_carry_their_facts(spark, tmp_path):
+    text = "\n".join([*(f"step {i} " + "z" * 30 + " y" * (i % 4) for i in range(800)), "error: one", "2 errors", "warning: w", "tests failed", "[trim hook: 3 lines omitted, no error]"])
+    rows = spark.createDataFrame([(1, "s/1", text), (2, None, text), (3, "s/1", text.replace("one", "two"))], "doc_id long, session_id string, text string")
+    done = condense.condense(rows, ["doc_id", "session_id"])
+    assert sources.write_sidecars(done, str(tmp_path / "saved")) == 3
+    saved = spark.read.parquet(str(tmp_path / "saved")).collect()
+    assert {(r.schema, r.session_id, r.errors, r.warnings, r.census, r.hostComplete) for r in saved} == {
+        (2, s, 3, 1, "3 errors, 1 failure, 1 warning", True) for s in ("s/1", None)
+    }
+    for r in saved:
+        assert textops.count_signals(r.content) == (r.errors, r.warnings)
+        assert textops.digest(r.content, [])[2] == r.census
+
+
 def test_sidecar_meta(spark):
-    rows = [('{"schema":1,"totalLines":3}',), ('{"schema":2,"totalLinesObserved":4,"contentHash":"h"}',), ('{"schema":9}',), ("bad",)]
-    got = sources.sidecar_meta(spark.createDataFrame(rows, "meta string")).collect()
-    assert [r.facts.total_lines if r.facts else None for r in got] == [3, 4, None, None]
+    new = {"schema": "x/sidecar-meta/2", "content": "host-truncated", "runtime": "pi", "totalLinesObserved": 4, "bytesObserved": 9, "hostComplete": False, "diagnostics": {"errors": 1, "warnings": 2}}
+    new |= {"contentHash": "h", "census": "1 error", "sessionId": "s", "createdAt": "2024-01-01T00:00:00Z"}
+    rows = [json.dumps(x) for x in (new, {"schema": 1, "totalLines": 3, "bytes": 7}, {"schema": "x/sidecar-meta/1", "sessionId": "t", "census": "c"}, {"schema": 9}, {"schema": "x/other/2"}, [2])]
+    got = [r.facts and tuple(r.facts) for r in sources.sidecar_meta(spark.createDataFrame([(r,) for r in [*rows, "bad", None]], "meta string").coalesce(1)).collect()]
+    assert got[0] == (2, 4, 9, "host-truncated", "pi", False, 1, 2, "h", "1 error", "s", "2024-01-01T00:00:00Z")
+    assert got[1] == (2, 3, 7, "complete-cleaned", "unknown", True, 0, 0, None, "", None, None)
+    assert got[2] == (2, None, None, "complete-cleaned", "unknown", True, 0, 0, None, "c", "t", None)
+    assert got[3:] == [None] * 5
+
+
+def test_records_need_a_sink(spark, tmp_path):
+    done = spark.createDataFrame([("t", 5, 3)], "tag string, inBytes long, outBytes long")
+    assert not sources.record(done.selectExpr("raise_error('computed') AS tag", "inBytes", "outBytes"))
+    assert sources.record(done, log_path=str(tmp_path / "log")) and not (tmp_path / "metrics").exists()
+    assert [r.value for r in spark.read.text(str(tmp_path / "log")).collect()] == ["t 5 -> 3"]
+
+
+def test_settings_are_positive_numbers():
+    assert [sources.positive_int(v, 72) for v in ("5", " 7h", "+3", "0", "-1", "x", "", None, 4)] == [5, 7, 3, 72, 72, 72, 72, 72, 4]
 
 
 def test_gate_is_per_call(spark):
