@@ -2,9 +2,10 @@
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from quillsieve.llm import lm_scoring, quality, queries
 
@@ -106,3 +107,61 @@ def test_registered_lm_score_is_the_models(spark, sf, monkeypatch):
         factor = lm_scoring.log_probabilities(weights, bias, context)[np.arange(len(classes)), classes] / math.log(10)
         within = [0.0 if not w else math.log10((counts[w] + 1) / (totals[c] + 1)) for w, c in zip(texts[i], classes)]
         assert abs(got[i] - (factor.sum() + sum(within))) < 1e-3 * len(classes)
+
+
+def test_lm_word_tree_adds_up():
+    rng = np.random.default_rng(2)
+    shares = rng.integers(1, 50, 37)
+    paths, every = lm_scoring.tree(shares), np.arange(37)
+    one, two = np.full(37, 11, np.uint32), np.full(37, 5, np.uint32)
+    assert np.allclose(np.exp(lm_scoring.word_log_probabilities(paths, np.zeros(256), every, one, two)), shares / shares.sum())
+    assert np.isclose(np.exp(lm_scoring.word_log_probabilities(paths, rng.normal(size=256), every, one, two)).sum(), 1)
+
+
+def test_lm_learns_words_before(spark):
+    """Words of one class and count, after words of one class and count: only word features tell the pairs apart."""
+    rows = [(k, "firstly talking secondly walking " * 20) for k in range(40)]
+    asked = [k for k in range(100, 200) if remainder(k, 7) == 2][:4]
+    pairs = ["firstly talking", "secondly walking", "firstly walking", "secondly talking"]
+    got = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame(rows + list(zip(asked, pairs)), "doc_id long, text string")).collect()}
+    seen, turned = [got[k] for k in asked[:2]], [got[k] for k in asked[2:]]
+    assert sum(seen) > sum(turned) + 1
+
+
+@pytest.mark.parametrize("bucket_bytes", [10**9, 300_000])
+def test_lm_score_token_by_token(spark, sf, monkeypatch, bucket_bytes):
+    """The score from plain tokens: class softmax, bucket's share, and the word tree of each bucket."""
+    held = {}
+    train = lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda *a, **k: held.setdefault("model", train(*a, **k)))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r.score for r in lm_scoring.score(docs, bucket_bytes=bucket_bytes).collect()}
+    texts = {i: [*(t or "").encode().lower().split(), b""] for i, t in collected(docs)}
+    buckets = 1 + sum(len((t or "").encode()) for _, t in collected(docs)) // bucket_bytes
+    assert buckets > 1 or bucket_bytes > 10**6
+    counts = Counter(w for i, own in texts.items() if remainder(i, 7) != 2 for w in own)
+    routes = defaultdict(list)
+    for i, own in texts.items():
+        before = [b"", b"", *own]
+        for two, one, w in zip(before, before[1:], own):
+            if w:
+                routes[lm_scoring.token_class(w), (zlib.crc32(w) >> 7) * 0x9E3779B1 % 2**32 * buckets >> 32].append((i, w, zlib.crc32(one), zlib.crc32(two)))
+    want, mass = Counter(), {}
+    for key, rows in routes.items():
+        known = sorted({w for _, w, _, _ in rows if counts[w]})
+        mass[key] = sum(counts[w] + 1 for w in known) + 1
+        number = {w: k for k, w in enumerate(known)}
+        paths = lm_scoring.tree(np.array([*(counts[w] + 1 for w in known), 1]))
+        leaf = np.array([number.get(w, len(known)) for _, w, _, _ in rows])
+        one, two = (np.array([r[k] for r in rows], np.uint32) for k in (2, 3))
+        seen = np.array([remainder(r[0], 7) != 2 for r in rows])
+        weights = lm_scoring.train_words(paths, leaf, one, two, seen)
+        for (i, *_), x in zip(rows, lm_scoring.word_log_probabilities(paths, weights, leaf, one, two)):
+            want[i] += x / math.log(10)
+    for (c, b), rows in routes.items():
+        for i, *_ in rows:
+            want[i] += math.log10(mass[c, b] / sum(mass.get((c, k), 0) for k in range(buckets)))
+    for i in sorted(texts)[:60]:
+        classes = np.array([lm_scoring.token_class(w) for w in texts[i]])
+        logs = lm_scoring.log_probabilities(*held["model"], lm_scoring.contexts(classes, np.array([0])))
+        assert abs(got[i] - want[i] - logs[np.arange(len(classes)), classes].sum() / math.log(10)) < 1e-3 * len(classes)
