@@ -5,7 +5,9 @@ most h shingles (h depends on the tier's largest size), so if segment i may diff
 e_i add up to more than h, some segment agrees within its own bound. e_i is 1 (equal segments meet) but for the first
 segment, where it is 2 (equal up to one shingle: its one-deletion neighbourhood is indexed too), and, where a set's size
 leaves segments to spare, 0 for the segments whose signatures are the most frequent in the corpus: those are indexed,
-but do not look for partners. The smaller set of a pair asks, so a set asks in its own tier alone. Tiers are size ranges; a set near the lower end of its tier is indexed in the tier below too.
+but do not look for partners. The first segment may be one of these, in place of two others, by what either leaves to
+look through. The smaller set of a pair asks, so a set asks in its own tier alone. Tiers are size ranges; a set near the
+lower end of its tier is indexed in the tier below too.
 
 A set also has a bitmap with a bit flipped for each shingle. Two bitmaps differ in no more bits than their sets differ
 in shingles, so pairs within a signature are first held against that bound; what passes is verified on the texts. A
@@ -386,6 +388,8 @@ def _near(percent: int, mode: str):
         elif len(left):
             names, count = np.unique(label, return_counts=True)
             left = np.flatnonzero(label != names[count.argmax()])  # pairs are found from either side
+        if mode != "least" and asks.sum() < len(left):
+            left = np.flatnonzero(asks)  # one of each pair asks
         out = [[], []]
         for start in range(0, len(left), step):
             x = left[start : start + step]
@@ -493,6 +497,25 @@ def _last_cell(table: pa.Table) -> int:
     return int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
 
 
+def _asking(shared: DataFrame) -> DataFrame:
+    """Members (``sig, key, size, weight, asks``) of ``shared`` (``sig, key, n, size, spare, parity``; ``n`` sets have a
+    signature): which signatures of its own tier a set looks for partners with.
+
+    A set skips the ``spare`` most frequent of its segments, or the first segment, whose bound is 2, and all but two of
+    these, whichever leaves it fewer partners. A first segment of one shingle or none is near the empty one, which a
+    fixed share of all sets has, so a group of sets that ask there would grow with the corpus, and its pairs as the square.
+    """
+    flag = F.col("sig").bitwiseAND(F.lit(DELETION)) == DELETION
+    own_tier = F.col("sig").bitwiseAND(F.lit(PARITY)) == F.col("parity")
+    tiers = shared.withColumns({"own": own_tier, "whole": own_tier & ~flag})
+    rank = F.row_number().over(Window.partitionBy("key", "whole").orderBy(F.desc("n"), "sig"))
+    ranked = tiers.withColumns({"rank": rank, "weight": F.count("*").over(Window.partitionBy("key", "whole"))})
+    gain = F.when(F.col("own") & ~F.col("whole"), F.col("n")).when(F.col("whole") & F.col("rank").between(F.col("spare") - 1, F.col("spare")), -F.col("n"))
+    without = (F.col("spare") >= 2) & (F.coalesce(F.sum(gain).over(Window.partitionBy("key")), F.lit(0)) > 0)  # the first segment
+    asks = F.when(F.col("whole"), F.col("rank") > F.col("spare") - F.when(F.col("without"), 2).otherwise(0)).otherwise(F.col("own") & ~F.col("without"))
+    return ranked.withColumn("without", without).select("sig", "key", "size", "weight", asks.alias("asks"))
+
+
 def link(docs: DataFrame, n: int = 3, percent: int = 90, hubs: int = 2) -> DataFrame:
     """Per row ``doc_id, n_shingles long, component_id long``: the smallest id reachable by links, itself included.
 
@@ -510,12 +533,7 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90, hubs: int = 2) -> DataF
     hot = arrays.where("bucket < 0").select("sig", "key").distinct().withColumn("n", F.lit(2_000_000_000).cast("long"))
     first_of = sets.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.max("n").alias("size"), F.max("spare").alias("spare"), F.max("parity").alias("parity"), F.first("map").alias("map"))
     first_of = written(first_of)
-    flag = F.col("sig").bitwiseAND(F.lit(DELETION)) == DELETION
-    own_tier = F.col("sig").bitwiseAND(F.lit(PARITY)) == F.col("parity")
-    shared = met.union(hot).join(first_of.select("key", "size", "spare", "parity"), "key").withColumns({"own": own_tier, "whole": own_tier & ~flag})
-    rank = F.row_number().over(Window.partitionBy("key", "whole").orderBy(F.desc("n"), "sig"))
-    weighed = shared.withColumns({"rank": rank, "weight": F.count("*").over(Window.partitionBy("key", "whole"))})
-    members = written(weighed.select("sig", "key", "size", "weight", (F.col("own") & (~F.col("whole") | (F.col("rank") > F.col("spare")))).alias("asks")))
+    members = written(_asking(met.union(hot).join(first_of.select("key", "size", "spare", "parity"), "key")))
     released(arrays)
     maps = first_of.select("key", "map")
 

@@ -191,6 +191,47 @@ def test_pigeonhole_bound():
             assert worst <= J.most_different(s, percent)
 
 
+def signed_members(spark, texts, n, percent):
+    """Members of all signatures that two sets and more have, as the join allocates them: sig -> (key, asks)."""
+    sets = {k: J.shingle_hashes(J.words_of(t), n) for k, t in texts}
+    sigs = {k: set(J.np.concatenate(J.signatures(h, percent)).view(J.np.int64).tolist()) for k, h in sets.items()}
+    met = Counter(s for own in sigs.values() for s in own)
+    rows = [(s, k, met[s], len(sets[k]), J.spare_of(len(sets[k]), percent), (J.tier(len(sets[k]))[0] & 1) * J.PARITY) for k, own in sigs.items() for s in own if met[s] > 1]
+    shared = spark.createDataFrame(rows, "sig long, key long, n long, size long, spare int, parity int")
+    out: dict = {}
+    for r in J._asking(shared).collect():
+        out.setdefault(r.sig, []).append((r.key, r.asks))
+    return out
+
+
+def test_no_group_of_unrelated_sets_asks(spark):
+    """First segments of one shingle or none: a fixed share of unrelated sets meets there, but need not look there."""
+    rng = random.Random(4)
+    texts = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(214, 300)))) for k in range(400)]
+    members = signed_members(spark, texts, 5, 80)
+    assert max(len(m) for m in members.values()) > 40  # they are all indexed there
+    assert max((len(m) for m in members.values() if any(asks for _, asks in m)), default=0) < 40
+
+
+def test_similar_sets_meet_where_one_asks(spark):
+    """The pigeonhole holds for what is skipped: each similar pair shares a signature that its smaller set asks for."""
+    rng = random.Random(6)
+    texts = [(1000 + k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 120)))) for k in range(300)]
+    for g in range(100):
+        base = [f"g{g}w{k}" for k in range(rng.randint(22, 130))]
+        for v in range(3):
+            own = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 40))):
+                own[rng.randrange(len(own))] = f"v{rng.randrange(10**6)}"
+            texts.append((3 * g + v, " ".join(own)))
+    sets = {k: J.shingles(J.words_of(t), 5) for k, t in texts}
+    members = signed_members(spark, texts, 5, 80)
+    met = {(a, b) for m in members.values() for a, asks in m if asks for b, _ in m}
+    pairs = [(a, b) for g in range(100) for a in range(3 * g, 3 * g + 3) for b in range(3 * g, 3 * g + 3) if sets[a] != sets[b] and len(sets[a]) <= len(sets[b]) and J.similar(sets[a], sets[b], 80)]
+    assert len(pairs) > 50
+    assert met.issuperset(pairs)
+
+
 def test_first_of_each(spark):
     rows = [(3, "a b c d e f g h"), (1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "x"), (None, "a b c d e f g h"), (5, None), (6, "")]
     docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
