@@ -6,7 +6,11 @@ together by one window over the call.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
@@ -37,6 +41,25 @@ OPTIONS = {
 SIDECARS = "/tmp/trim-sidecar"
 
 
+#: Bytes of a batch that a worker turns into rows at a time: what it holds does not grow with the batch.
+SLICE_BYTES = 1 << 22
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch as slices of about SLICE_BYTES of ``column`` (texts, or lists that hold some); a row is never cut."""
+    if not batch.num_rows:
+        return
+    rows = max(1, batch.num_rows * SLICE_BYTES // max(SLICE_BYTES, batch.column(column).nbytes))
+    own = batch.column(column)
+    if pa.types.is_string(own.type) or pa.types.is_large_string(own.type):
+        place = np.cumsum(pc.fill_null(pc.binary_length(own), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE_BYTES
+        ends = [*(np.flatnonzero(np.diff(place)) + 1).tolist(), batch.num_rows]
+    else:
+        ends = [*range(rows, batch.num_rows, rows), batch.num_rows]
+    for start, end in zip([0, *ends], ends):
+        yield batch.slice(start, end - start)
+
+
 def condense(results: DataFrame, keys: list[str], text: str = "text", folder: str = SIDECARS, registry: tuple = formats.REGISTRY, keep: str | None = None, keep_last: str | None = None) -> DataFrame:
     """``keys``, ``out``, the fields of META, and ``sidecar``: what a saved copy holds. Null and empty texts pass as they are.
 
@@ -54,7 +77,7 @@ def condense(results: DataFrame, keys: list[str], text: str = "text", folder: st
         return formats.first_match(s, o, registry)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, n_keys)):
             found = []
             columns = [batch.column(n_keys + 1 + k).to_pylist() for k in range(len(names))]
             for k, text in enumerate(batch.column(n_keys).to_pylist()):
@@ -71,7 +94,7 @@ def fold_templates(docs: DataFrame) -> DataFrame:
     """``doc_id, text, collapsed``: runs of lines of one shape as their first line and a count."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             found = [textops.fold_templates(t.split("\n")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["\n".join(x) for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["doc_id", "text", "collapsed"])
 
@@ -82,7 +105,7 @@ def read_format(docs: DataFrame, reader: formats.Reader) -> DataFrame:
     """``doc_id, out, lossy, omitted`` where one format alone reads the text; no rows where it declines."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = []
             for key, text, command in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 found = formats.first_match(text or "", textops.Options(command=command), (reader,))
