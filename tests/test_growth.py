@@ -37,3 +37,12 @@ def test_batches_are_cut_by_bytes():
     parts = list(condense.slices(batch, 1))
     assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
     assert max(sum(len(t or "") for t in p.column(1).to_pylist()) for p in parts) <= 9_000_000 + condense.SLICE_BYTES and len(parts) > 8
+
+
+def _plan(spark, sf, name):
+    return QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_block_gate_deals_no_texts(spark, sf):
+    plan = _plan(spark, sf, "block_gate")
+    assert plan.index("Exchange hashpartitioning") < plan.index("md5(cast(out")
