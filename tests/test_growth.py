@@ -46,3 +46,8 @@ def _plan(spark, sf, name):
 def test_block_gate_deals_no_texts(spark, sf):
     plan = _plan(spark, sf, "block_gate")
     assert plan.index("Exchange hashpartitioning") < plan.index("md5(cast(out")
+
+
+def test_runtimes_condense_calls_where_they_lie(spark, sf):
+    plan = _plan(spark, sf, "runtime_routes")
+    assert "Join" not in plan and "HashAggregate" not in plan and plan.count("Exchange hashpartitioning") <= 4
